@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of bounded bytes for the session, as texts may be long; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (None, "-1", str(2**63 - 1)):
+        spark.conf.set(key, size)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the session names; one of our own only where none is set."""
     sc = spark.sparkContext
@@ -91,7 +98,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
 class WordHashes(dict):
     """Word to 64-bit hash, computed once per distinct word; bounded, as a task may see any number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

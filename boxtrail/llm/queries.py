@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
 from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op4_minhash_forest,)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_forest)}
 ORACLES: dict[str, str] = {}
