@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
 from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
+from boxtrail.llm.op6_byte_gru import op6_byte_gru
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_forest)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_forest, op6_byte_gru)}
 ORACLES: dict[str, str] = {}
