@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
+from boxtrail.llm.op3_winnowing import OP3_SQL, op3_winnowing
 from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
 from boxtrail.llm.op6_byte_gru import op6_byte_gru
 from boxtrail.llm.op7_sparse_suffixes import op7_sparse_suffixes
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op4_minhash_forest, op6_byte_gru, op7_sparse_suffixes)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op3_winnowing, op4_minhash_forest, op6_byte_gru, op7_sparse_suffixes)}
+ORACLES: dict[str, str] = {"op3_winnowing": OP3_SQL}
