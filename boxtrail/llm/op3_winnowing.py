@@ -56,6 +56,10 @@ def _with_prints(df: DataFrame) -> DataFrame:
     return df.withColumn("hashes", _grams("words", GRAM)).withColumn("packed", _packed("hashes")).drop("hashes").withColumn("prints", _winnowed("packed")).drop("packed")
 
 
+def _head_prints(k: int) -> Column:
+    return F.transform(_grams("words", k), lambda h, i: F.struct(F.lit(k).alias("kind"), h.alias("print"), i.alias("pos")))
+
+
 def item_index(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """(kind, print, at, item_id, item_words): kind 0 for winnowed items, else the number of head words of shorter ones."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0).distinct()
@@ -89,7 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if size > ITEM_ROWS:
         rows = scratch.save(rows, "rows")
     long = F.transform("prints", lambda p: F.struct(F.lit(0).alias("kind"), _print(p)[0].alias("print"), _print(p)[1].cast("int").alias("pos")))
-    heads = [F.transform(_grams("words", k), lambda h, i, k=k: F.struct(F.lit(k).alias("kind"), h.alias("print"), i.alias("pos"))) for k in kinds if k]
+    heads = [_head_prints(k) for k in kinds if k]
     # a row of kind -1 keeps every document, with or without fingerprints
     own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("print"), F.lit(0).alias("pos")))
     prints = rows.select("row", "doc_id", "words", F.explode(F.concat(own, long, *heads)).alias("f")).select("row", "doc_id", "words", "f.kind", "f.print", "f.pos")
