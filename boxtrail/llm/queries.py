@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from boxtrail.llm.op10_license_index import op10_license_index
+from boxtrail.llm.op1_merkle_audit import OP1_SQL, op1_merkle_audit
 from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
 from boxtrail.llm.op3_winnowing import OP3_SQL, op3_winnowing
 from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
 from boxtrail.llm.op6_byte_gru import op6_byte_gru
 from boxtrail.llm.op7_sparse_suffixes import op7_sparse_suffixes
 from boxtrail.llm.op8_likelihood_ratio import op8_likelihood_ratio
+from boxtrail.llm.op9_url_rules import OP9_SQL, op9_url_rules
+from boxtrail.llm.op10_license_index import op10_license_index
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op2_byte_bpe, op3_winnowing, op4_minhash_forest, op6_byte_gru, op7_sparse_suffixes, op8_likelihood_ratio, op10_license_index)}
-ORACLES: dict[str, str] = {"op3_winnowing": OP3_SQL}
+QUERIES: dict[str, Callable] = {
+    f.__name__: f
+    for f in (
+        op1_merkle_audit,
+        op2_byte_bpe,
+        op3_winnowing,
+        op4_minhash_forest,
+        op6_byte_gru,
+        op7_sparse_suffixes,
+        op8_likelihood_ratio,
+        op9_url_rules,
+        op10_license_index,
+    )
+}
+ORACLES: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op3_winnowing": OP3_SQL, "op9_url_rules": OP9_SQL}
