@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from boxtrail.llm.common import bounded_batches, table
 
-CACHED = 150_000  # distinct words whose ids a task keeps
+CACHED = 500_000  # distinct words whose ids a task keeps, about 100 MB
 SLICE = 2_000_000  # characters of text encoded at once
 LONG = 64  # bytes from which a word is contracted by sweeps of its own, so that it doesn't hold up the others
 
@@ -91,18 +91,20 @@ class Codec:
         word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         self._put("bytes", pa.table({"word": word, "pos": np.arange(len(flat), dtype=np.int32), "id": self.byte_ids[flat]}))
 
-    def _words(self, words: list[bytes]) -> list[list[int]]:
+    def _words(self, words: list[bytes]) -> list[bytes]:
         self._load(words)
-        return self.con.sql(ENCODE).to_arrow_table()["ids"].to_pylist()
+        ids = self.con.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _long(self, word: bytes) -> list[int]:
+    def _long(self, word: bytes) -> bytes:
         self._load([word])
         rank = -1
         while True:
             self.con.execute(PAIRS)
             best, left = self.con.execute("SELECT min(merged), arg_min(id, merged) FROM pairs").fetchall()[0]
             if best is None:
-                return [row[0] for row in self.con.execute("SELECT id FROM pairs ORDER BY n").fetchall()]
+                return np.array([row[0] for row in self.con.execute("SELECT id FROM pairs ORDER BY n").fetchall()], "<u4").tobytes()
             if best < rank or self.early.get((best, left), best) < best:
                 return self._words([word])[0]
             self.con.execute(SWEEP)
@@ -116,11 +118,10 @@ class Codec:
             new = sorted(words)
         short = [w for w in new if len(w.encode()) < LONG]
         for part in (short[i : i + 10_000] for i in range(0, len(short), 10_000)):
-            for word, ids in zip(part, self._words([w.encode() for w in part]), strict=True):
-                self.cache[word] = np.array(ids, "<u4").tobytes()
+            self.cache.update(zip(part, self._words([w.encode() for w in part]), strict=True))
         for word in new:
             if word not in self.cache:
-                self.cache[word] = np.array(self._long(word.encode()), "<u4").tobytes()
+                self.cache[word] = self._long(word.encode())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(t) for t in texts]
