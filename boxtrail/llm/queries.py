@@ -8,6 +8,7 @@ from boxtrail.llm.op1_merkle_audit import OP1_SQL, op1_merkle_audit
 from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
 from boxtrail.llm.op3_winnowing import OP3_SQL, op3_winnowing
 from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
+from boxtrail.llm.op5_maxent_lm import op5_maxent_lm
 from boxtrail.llm.op6_byte_gru import op6_byte_gru
 from boxtrail.llm.op7_sparse_suffixes import op7_sparse_suffixes
 from boxtrail.llm.op8_likelihood_ratio import op8_likelihood_ratio
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable] = {
         op2_byte_bpe,
         op3_winnowing,
         op4_minhash_forest,
+        op5_maxent_lm,
         op6_byte_gru,
         op7_sparse_suffixes,
         op8_likelihood_ratio,
