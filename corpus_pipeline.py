@@ -1,8 +1,100 @@
-"""Corpus preparation in stages: each reads what the one before has kept."""
+"""Corpus preparation in stages: language, near duplicates, repeated passages, benchmark contamination, tokens.
 
-STAGES = []
+Each stage works on all that the one before has kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import public_tokenizers
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxtrail.llm.common import Scratch, bounded_batches, table
+from boxtrail.llm.op2_byte_bpe import encode_and_decode
+from boxtrail.llm.op3_winnowing import decontaminate
+from boxtrail.llm.op4_minhash_forest import near_duplicates
+from boxtrail.llm.op6_byte_gru import UNDECIDED, identify, train_on_documents
+from boxtrail.llm.op7_sparse_suffixes import repeated_windows
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_LANGUAGE = 0.5  # mean probability of the label, below which a text is in no one language
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that the network assigns to no language."""
+    docs = docs.select(*COLUMNS)
+    found = identify(docs, train_on_documents(docs)).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest doc_id, once."""
+    docs = docs.select(*COLUMNS)
+    kept = near_duplicates(docs, k=5, threshold=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of their spans; what stood between the words that stay is kept."""
+    for batch in batches:
+        out = []
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
+            if spans:
+                places = [m.span() for m in WORD.finditer(text)]
+                parts, at = [], 0
+                for s in spans:
+                    parts.append(text[at : places[s["start"]][0]])
+                    at = places[s["end"]][0] if s["end"] < len(places) else len(text)
+                text = "".join([*parts, text[at:]])
+            out.append(text)
+        names = [n for n in batch.schema.names if n != "later"]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes each passage of 50 words or more that occurs before, in a document of a smaller doc_id or further up; drops documents
+    of which nothing is left. n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    texts, marks = repeated_windows(docs)
+    later = texts.join(marks.where(F.size("later") > 0), "text_key").select("doc_id", "later")
+    bounded_batches(spark)
+    cut = docs.join(later, "doc_id").select(*COLUMNS, "later")
+    cut = cut.mapInArrow(_without, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
+    return docs.join(later.select("doc_id"), "doc_id", "left_anti").unionByName(cut)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are contaminated by benchmark items."""
+    docs = docs.select(*COLUMNS)
+    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document that is left, checked by decoding."""
+    coded = encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [("language ID", language), ("MinHash near-dedup", deduplicate), ("suffix-array dedup", cut_repeats), ("benchmark decontamination", drop_contaminated), ("byte-level BPE", tokens)]
+#: SQL has neither the network nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
+    return docs
