@@ -2,8 +2,8 @@
 
 Every distinct shingle set gets a signature. Each tree of the forest is one sorted order of all
 signatures, rotated by the tree's permutation: rows close in that order share the longest prefixes. Rows are
-compared with the rows that follow, so that a sparse region is enumerated whole from its shortest shared prefix and a dense
-one is cut at a longer prefix by itself. Candidate links are confirmed on the full sets; components follow.
+compared with some of the rows that follow, so that a sparse region is enumerated whole from its shortest shared prefix and a dense
+one goes deeper by itself. Candidate links are confirmed on the full sets; components follow.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import Scratch, WordHashes, components, gram_hashes, maybe_broadcast, mix, table
+from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, components, gram_hashes, maybe_broadcast, mix, table
 
-VALUES = 64  # signature length
-TREES = 16
-DEPTH = 16  # values in a tree's sort key
+VALUES = 64  # signature length; 16 bits of each minimum are kept
+TREES = 14
 PREFIX = 2  # shortest shared prefix of a candidate
-NEIGHBOURS = 12  # rows compared after each row of a sorted order
-BLOCK = 2_000_000  # shingles hashed at once, for bounded memory
+#: Distances in a sorted order at which rows are compared: the nearest, and some further off in the same region, as a run of rows that are alike
+#: would otherwise hide those beyond it.
+OFFSETS = (1, 2, 3, 5, 13, 47)
+REACH = OFFSETS[-1]
+HUBS = 64  # classes of a component that stand for it when others are compared with it
+SLACK = 11  # equal values that a pair at the threshold may lack, over three deviations
+BLOCK = 400_000  # shingles hashed at once, for bounded memory
 
 
 def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
@@ -36,11 +40,11 @@ def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
 def signatures(sets: list[np.ndarray], values: int = VALUES) -> np.ndarray:
     """One row of minima for each non-empty set."""
     odd = mix(np.arange(1, values + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    out = np.empty((len(sets), values), np.uint32)
+    out = np.empty((len(sets), values), np.uint16)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     for j in range(values if sets else 0):
-        out[:, j] = np.minimum.reduceat((flat * odd[j]) >> np.uint64(32), starts)
+        out[:, j] = mix(np.minimum.reduceat((flat * odd[j]) >> np.uint64(32), starts))
     return out
 
 
@@ -51,7 +55,7 @@ def _sign(k: int):
         def emit(ids, sets):
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full))
-            sig = [next(rows).astype(">u4").tobytes() if len(s) else None for s in sets]
+            sig = [next(rows).astype(">u2").tobytes() if len(s) else None for s in sets]
             key = [_key(s) if len(s) else None for s in sets]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
@@ -91,14 +95,18 @@ def _full_sets(k: int):
     return run
 
 
+def tree_order(t: int) -> np.ndarray:
+    """The order of the signature's values in a tree: no two trees start alike."""
+    return (t * (VALUES // TREES) + np.arange(VALUES) * (2 * t + 1)) % VALUES
+
+
 def _tree_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each class once per tree, under the bytes of its signature in that tree's order."""
     for batch in batches:
         cids = batch.column(0)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, VALUES)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES)
         for t in range(TREES):
-            order = [(t * (VALUES // TREES) + j * (2 * t + 1)) % VALUES for j in range(DEPTH)]
-            keys = np.ascontiguousarray(sig[:, order]).view(f"V{4 * DEPTH}").ravel()
+            keys = np.ascontiguousarray(sig[:, tree_order(t)]).view(f"V{2 * VALUES}").ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), cids], ["tree", "key", "cid"])
 
 
@@ -112,20 +120,20 @@ def _neighbours(least: int, edges: bool):
 
         def ends(tree, key, cid):
             n = len(cid)
-            return pa.RecordBatch.from_arrays([pa.array(cid, kinds[0]), pa.nulls(n, kinds[1]), pa.nulls(n, kinds[2]), pa.array(tree, kinds[3]), pa.array([k.astype(">u4").tobytes() for k in key], kinds[4])], names)
+            return pa.RecordBatch.from_arrays([pa.array(cid, kinds[0]), pa.nulls(n, kinds[1]), pa.nulls(n, kinds[2]), pa.array(tree, kinds[3]), pa.array([k.astype(">u2").tobytes() for k in key], kinds[4])], names)
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             tree = batch.column(0).to_numpy(zero_copy_only=False)
-            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
+            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES).astype(np.uint16)
             cid = batch.column(2).to_numpy(zero_copy_only=False)
             if edges and first:
-                yield ends(tree[:NEIGHBOURS], key[:NEIGHBOURS], cid[:NEIGHBOURS])
+                yield ends(tree[:REACH], key[:REACH], cid[:REACH])
             old = 0 if tail is None else len(tail[2])
             if old:
                 tree, key, cid = (np.concatenate(x) for x in zip(tail, (tree, key, cid), strict=True))
-            for j in range(1, min(NEIGHBOURS, len(cid) - 1) + 1):
+            for j in (j for j in OFFSETS if j < len(cid)):
                 lo = max(0, old - j)  # pairs that end in the old rows were seen with the batch before
                 x, y = slice(lo, len(cid) - j), slice(lo + j, None)
                 same = key[x] == key[y]
@@ -134,7 +142,7 @@ def _neighbours(least: int, edges: bool):
                 p, q, n = cid[x][hit], cid[y][hit], int(hit.sum())
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), kinds[0]), pa.array(np.maximum(p, q), kinds[1]), pa.array(score[hit].astype(np.int32)), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4])], names)
-            tail, first = tuple(x[-NEIGHBOURS:] for x in (tree, key, cid)), False
+            tail, first = tuple(x[-REACH:] for x in (tree, key, cid)), False
         if edges and tail is not None:
             yield ends(*tail)
 
@@ -153,10 +161,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     stay alone. Copies (rows with equal sets) are one class, so no pairs of copies are made. Rows
     without an id take part as copies only; repeated rows of one id all get the same result. An empty table gives no rows.
 
-    Each row costs TREES sorted keys of 4 * DEPTH bytes; a pair at the threshold is missed by all trees with a
+    Each row costs TREES sorted keys of 2 * VALUES bytes; a pair at the threshold is missed by all trees with a
     probability of about (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80. Every confirmed link is exact.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(slim.mapInArrow(_sign(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
@@ -172,12 +181,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
 
 
 def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, scratch: Scratch, k: int, threshold: int) -> DataFrame:
-    least = max(PREFIX, int(DEPTH * threshold / 100) - 6)
+    least = max(PREFIX, int(VALUES * threshold / 100) - SLACK)
     keys = scratch.save(classes.where("cid is not null").select("cid", "sig").mapInArrow(_tree_keys, "tree int, key binary, cid long"), "keys")
     order = ["tree", "key", "cid"]
     found = scratch.save(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), PAIRS), "found")
     ends = found.where("b is null").select("tree", "key", F.col("a").alias("cid")).distinct()  # a few rows of each partition
-    across = ends.repartitionByRange(1, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), PAIRS)
+    across = ends.repartitionByRange(1 + ends.count() // 200_000, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), PAIRS)
     pairs = scratch.save(found.where("b is not null").select("a", "b", "score").union(across.select("a", "b", "score")).where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"), F.count("*").alias("trees")), "pairs")
     scratch.drop("keys", "found")
 
@@ -192,18 +201,32 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
         n, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
         return some.join(left, "a").join(right, "b").where(100 * n >= threshold * (both - n)).select("a", "b")
 
-    # First each class with its best neighbour; then only what is still in different components.
+    def linked(tried: DataFrame) -> DataFrame:
+        """Components of the confirmed ones of the tried pairs (a, b) of classes in the components (ra, rb)."""
+        links = confirmed(tried.select("a", "b")).join(tried, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        return components(spark, links, scratch)
+
+    # First the pairs that are likely links, and each class with its best neighbour; then only pairs that still cross.
     sides = pairs.union(pairs.select("b", "a", "score", "trees"))
-    best = sides.groupBy("a").agg(F.max_by("b", F.struct("trees", "score", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = scratch.save(components(spark, confirmed(best), scratch), "first")
-    ra, rb = first.toDF("a", "ra"), first.toDF("b", "rb")
-    rest = pairs.join(ra, "a", "left").join(rb, "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).where("ra <> rb")
-    rest = scratch.save(rest.select("a", "b", "ra", "rb"), "rest")
-    links = scratch.save(confirmed(rest.select("a", "b")), "links").join(rest, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    second = components(spark, links, scratch).toDF("via", "top")
-    roots = first.union(second.toDF("node", "root")).groupBy("node").agg(F.min("root").alias("via"))
-    done = roots.join(second, "via", "left").select("node", F.coalesce("top", "via").alias("root"))
-    return scratch.save(done, "roots")
+    best = sides.groupBy("a").agg(F.max_by("b", F.struct("score", "trees", F.xxhash64("a", "b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    likely = pairs.where(100 * F.col("score") >= VALUES * threshold).select("a", "b").union(best).distinct()
+    tried = scratch.save(likely.withColumns({"ra": F.col("a"), "rb": F.col("b")}), "tried")
+    labels = scratch.save(linked(tried), "labels")
+    ra, rb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
+    rest = pairs.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.join(ra, "a", "left").join(rb, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb").select("a", "b", "ra", "rb")
+    # Texts made from one another resemble all of their kind, but reach the threshold with few of them: beside the pairs found, each
+    # class meets HUBS of the other component, those that resemble their neighbours most: they have changed least.
+    central = pairs.select("a", "score").union(pairs.select("b", "score")).groupBy("a").agg(F.avg("score").alias("n")).join(labels.toDF("a", "r"), "a")
+    hubs = central.groupBy("r", F.pmod(F.xxhash64("a"), F.lit(HUBS)).alias("slot")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
+    flipped = F.col("a") > F.col("hub")
+    to_hub = rest.union(rest.select("b", "a", "rb", "ra")).select("a", "ra", "rb").distinct().join(hubs.select(F.col("r").alias("rb"), "hub"), "rb")
+    to_hub = to_hub.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.when(flipped, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(flipped, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
+    rest = scratch.save(rest.union(to_hub).distinct(), "rest")
+    found = linked(rest)
+    top = found.toDF("root", "top")
+    grown = labels.union(found.toDF("node", "root").join(labels.select("node"), "node", "left_anti"))
+    return scratch.save(grown.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
