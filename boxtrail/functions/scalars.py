@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Weights of event reasons; others count DEFAULT_PRIORITY.
 PRIORITIES = {"new_track": 3.0, "unknown_track": 3.0, "low_confidence": 2.5, "periodic_refresh": 1.0}
@@ -20,7 +21,7 @@ def class_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, "_+", "_"), "^_|_$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

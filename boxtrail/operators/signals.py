@@ -11,8 +11,6 @@ from boxtrail.functions import geometry as g
 from boxtrail.functions.scalars import severity_rank
 from boxtrail.operators.tracks import KEY, runs, track_gaps
 
-ORDER = W.partitionBy(*KEY).orderBy("frame")
-
 
 def absences(obs: DataFrame, warn: int = 5, critical: int = 20) -> DataFrame:
     """Runs of frames without the track within its sequence's frames, before its first and after its last one too, from `warn` frames on."""
@@ -37,10 +35,11 @@ def low_confidence_runs(obs: DataFrame, threshold: float = 0.25, least: int = 3)
 def motion_jumps(obs: DataFrame, diagonal: float, window: int = 10, jump: float = 0.08, ratio: float = 4.0) -> DataFrame:
     """Steps between consecutive rows of a track that are long themselves or by the median of up to `window` steps before."""
     x, y = g.centre(g.corners("x", "y", "w", "h"))
+    order = W.partitionBy(*KEY).orderBy("frame")
     p = obs.select(*KEY, "frame", x.alias("cx"), y.alias("cy"))
-    step = F.hypot(F.col("cx") - F.lag("cx").over(ORDER), F.col("cy") - F.lag("cy").over(ORDER)) / diagonal
-    s = p.select(*KEY, "frame", F.lag("frame").over(ORDER).alias("previous"), step.alias("step")).where("previous is not null")
-    s = s.withColumn("baseline", F.sort_array(F.collect_list("step").over(ORDER.rowsBetween(-window, -1))))
+    step = F.hypot(F.col("cx") - F.lag("cx").over(order), F.col("cy") - F.lag("cy").over(order)) / diagonal
+    s = p.select(*KEY, "frame", F.lag("frame").over(order).alias("previous"), step.alias("step")).where("previous is not null")
+    s = s.withColumn("baseline", F.sort_array(F.collect_list("step").over(order.rowsBetween(-window, -1))))
     n = F.size("baseline")
     middle = (F.get("baseline", F.floor((n - 1) / 2).cast("int")) + F.get("baseline", F.floor(n / 2).cast("int"))) / 2
     s = s.withColumn("baseline", F.when(n > 0, middle)).withColumn("ratio", F.when(F.col("baseline") > 0, F.col("step") / F.col("baseline")))

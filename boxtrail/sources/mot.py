@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from boxtrail.functions import geometry as g
 from boxtrail.operators.validate import mot_issues
 
 FIELDS = ["frame", "track_id", "x", "y", "w", "h", "conf", "class_id", "visibility", "reserved"]
-ANNOTATION = T.StructType.fromDDL(
+ANNOTATION = (
     "sequence struct<name:string,fps:double,width:int,height:int,frame_count:int>, "
     "frames array<struct<frame_index:long,image:string,width:int,height:int,objects:array<struct<track_id:string,class:string,bbox:array<double>,confidence:double,visibility:double>>>>"
 )
-CACHE = T.StructType.fromDDL("sequence_name string, frame_index long, detections array<struct<class_id:int,class_name:string,confidence:double,bbox_xyxy:array<double>>>, stage_seconds map<string,double>")
-EVENT = T.StructType.fromDDL("event_id string, sequence string, track_id long, type string, severity string, start long, `end` long, trigger long")
+CACHE = ("sequence_name string, frame_index long, detections array<struct<class_id:int,class_name:string,confidence:double,bbox_xyxy:array<double>>>, stage_seconds map<string,double>")
+EVENT = ("event_id string, sequence string, track_id long, type string, severity string, start long, `end` long, trigger long")
 
 
 def _file_stem() -> Column:

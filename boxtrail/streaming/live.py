@@ -18,10 +18,12 @@ def stabilized_stream(obs: DataFrame, kind: type = DecayVote, **options) -> Data
     a frame already folded are folded where they come."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = pickle.loads(state.get[0]) if state.exists else kind(**options)
+        fold = kind(**options)
+        if state.exists:
+            vars(fold).update(pickle.loads(state.get[0]))
         pdf = pd.concat(list(batches)).sort_values(["frame", "class"])
         stable = [fold.step(f, c, v) for f, c, v in zip(pdf.frame, pdf["class"], pdf.conf, strict=True)]
-        state.update((pickle.dumps(fold),))
+        state.update((pickle.dumps(vars(fold)),))
         yield pdf.assign(stable=stable)[["sequence", "track_id", "frame", "class", "stable"]]
 
     slim = obs.select("sequence", "track_id", "frame", "class", "conf")
