@@ -8,11 +8,13 @@ bounded sample of labelled rows, then applied to all rows inside Spark tasks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,7 +172,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     """A network from rows (doc_id, text, lang); None without a labelled row that has a letter.
 
     About train_docs rows of each label are taken, those of the smallest hashes of their ids, and DOC_SEGMENTS segments of each: what the
-    driver holds is bounded by these and by LANGUAGES.
+    task holds that trains is bounded by these and by LANGUAGES.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
@@ -180,18 +182,26 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * train_docs / n)))])
     picked = labelled.where(key < share[F.col("lang")]).select("lang", key.alias("key"), "text")
-    got = picked.mapInArrow(_sample_segments, "lang string, key long, bytes binary").orderBy("key", "lang", "bytes").limit(2 * train_docs * DOC_SEGMENTS * len(counts)).toArrow()
-    if got.num_rows == 0:
-        return None
-    names = got["lang"].to_pylist()
+    sample = picked.mapInArrow(_sample_segments, "lang string, key long, bytes binary").orderBy("key", "lang", "bytes").limit(2 * train_docs * DOC_SEGMENTS * len(counts))
+    fitted = sample.mapInArrow(_fit_sample, "network binary").collect()  # one task: the sample is bounded, and workers keep to one thread
+    return pickle.loads(fitted[0]["network"]) if fitted else None
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, raw = [], []
+    for batch in batches:
+        names += batch.column(0).to_pylist()
+        raw += batch.column(2).to_pylist()
+    if not names:
+        return
     labels = sorted(set(names))
     target = np.array([labels.index(x) for x in names])
-    rows = np.frombuffer(b"".join(got["bytes"].to_pylist()), np.uint8).reshape(-1, SEGMENT)
+    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SEGMENT)
     most = np.bincount(target).max()  # each label as often as the most frequent one
     balanced = np.concatenate([np.resize(np.flatnonzero(target == j), most) for j in range(len(labels))])
     network = Network(labels)
     network.train(rows[balanced], target[balanced])
-    return network
+    yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(network)], pa.binary())], ["network"])
 
 
 def _label(network: Network | None):
