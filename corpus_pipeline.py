@@ -25,7 +25,7 @@ from boxtrail.llm.op7_sparse_suffixes import repeated_windows
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE = 0.5  # mean probability of the label, below which a text is in no one language
+LEAST_LANGUAGE = 0.25  # mean probability of the label, below which a text is in no one language
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
