@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, gram_hashes, maybe_broadcast, table
+from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, gram_hashes, table
 
 MIN_WORDS = 50  # shortest repeated passage
 GRAM = 16  # words that a seed shares with its neighbour
@@ -161,17 +161,17 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
     seeds = scratch.save(seeds.join(classes.select("text_key", "doc_id"), "text_key").select("doc_id", "text_key", "seeds"), "seeds")
     scratch.drop("rows")
 
-    total = seeds.agg(F.coalesce(F.sum(F.size("seeds") + 8), F.lit(0))).first()[0]
-    found = slim.join(maybe_broadcast(seeds, total), "doc_id").select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
+    found = slim.join(seeds, "doc_id").select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
     windows = scratch.save(found, "windows")
     first = F.struct("doc_id", "text_key", "start")
-    repeated = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n")
+    # written first, so that the join below may split a common window's rows
+    repeated = scratch.save(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "repeated")
     marked = windows.join(repeated, "window").groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(first != F.col("first"), F.col("start")))).alias("again"))
     both = classes.where("copies > 1").select("text_key", "n_words").join(marked, "text_key", "full")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     marks = both.select("text_key", F.when(F.col("n_words").isNotNull(), whole).otherwise(_spans(F.col("starts"), min_words)).alias("spans"), F.coalesce(_spans(F.col("again"), min_words), F.array().cast("array<struct<start:int,end:int>>")).alias("later"))
     marks = scratch.save(marks, "marks")
-    scratch.drop("windows", "seeds", "classes")
+    scratch.drop("windows", "repeated", "seeds", "classes")
     return texts.select("doc_id", "text_key", "n_words"), marks
 
 
