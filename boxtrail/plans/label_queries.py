@@ -307,9 +307,9 @@ def missing_and_extra(spark, d):
     return validate.set_difference(c, b.table(spark, d, "orders").select(F.col("o_custkey").alias("name")), "name")
 
 
-@query("state_transitions_invalid", "WITH l AS (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS old, role AS state FROM conversations) SELECT conv_id, turn, old, state FROM l WHERE old IS NOT NULL AND old <> state AND (old, state) NOT IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))")
+@query("state_transitions_invalid", "WITH l AS (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS old, role AS state FROM conversations) SELECT conv_id, turn, old, state FROM l WHERE old IS NOT NULL AND old <> state AND (old, state) NOT IN (('system', 'user'), ('user', 'assistant'))")
 def state_transitions_invalid(spark, d):
-    allowed = spark.createDataFrame([("system", "user"), ("user", "assistant"), ("assistant", "user")], "old string, state string")
+    allowed = spark.createDataFrame([("system", "user"), ("user", "assistant")], "old string, state string")
     return segments.invalid_transitions(b.table(spark, d, "conversations").withColumnRenamed("role", "state"), allowed, "conv_id", "turn")
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from boxtrail.functions import salvage
 from boxtrail.operators import appearance, filters, fusion, matching, metrics, segments, signals, switches, tracker, tracks, validate
 
 BOX = "sequence string, frame long, track_id long, x double, y double, w double, h double, conf double, class string"
@@ -149,8 +150,8 @@ def test_asof_and_segments(spark):
 
 
 def test_state_machine_edges(spark):
-    s = spark.createDataFrame([(1, i, x) for i, x in enumerate(["initial", "confirmed", "confirmed", "initial", "lost"])], "k long, i long, state string")
-    assert sorted((r.i, r.old) for r in segments.invalid_transitions(s, segments.edges(spark), "k", "i").collect()) == [(3, "confirmed"), (4, "initial")]
+    s = spark.createDataFrame([(1, i, x) for i, x in enumerate(["UNRESOLVED", "ACTIVE", "ACTIVE", "UNRESOLVED", "LOST"])], "k long, i long, state string")
+    assert sorted((r.i, r.old) for r in segments.invalid_transitions(s, segments.edges(spark), "k", "i").collect()) == [(3, "ACTIVE"), (4, "UNRESOLVED")]
 
 
 def test_leave_one_out_equals_pairs(spark):
@@ -170,6 +171,12 @@ def test_validation_codes(spark):
     assert got == {(2, "bad_box"), (2, "bad_confidence"), (2, "duplicate"), (3, "bad_frame"), (3, "not_finite"), (3, "unordered")}
 
 
+def test_salvage_of_predictions():
+    text = 'x {"p": [{"id": 3, "class": "car", "conf": "bad", "observations": [{"q": 0.7}, {"q": 2}]}, {"id": 4, "accepted_for_fusion": false}]} {"'
+    assert [(r["track_id"], r["label"], r["confidence"]) for r in salvage.prediction_rows(text)] == [(3, "car", 0.7), (3, "car", 1.0)]
+    assert salvage.prediction_rows(None) == salvage.prediction_rows('{"q": 1} {') == []
+
+
 def test_sampling_folds():
     assert filters.next_fit([3, 3, 0, 5, 1], 2, 6) == [0, 0, None, 1, 1]
     assert filters.shot_starts([1, 5, 30, 40, 60], [0, 0.9, 0.9, 0.9, 0.1], 0.65, 15) == [True, False, True, False, False]
