@@ -24,21 +24,26 @@ def words_of(text: Column | str) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def features(words: str) -> Column:
-    """Buckets of all words and of all pairs of consecutive words."""
-    n = F.size(words)
+def with_hashes(df: DataFrame) -> DataFrame:
+    """Adds hashes, those of the words; pairs and windows are hashed from them, so that no word is hashed twice."""
+    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def features(hashes: str) -> Column:
+    """Buckets of all words and of all pairs of consecutive words, from the words' hashes."""
+    n = F.size(hashes)
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: bucket(F.xxhash64(F.lit("pair"), F.element_at(words, i), F.element_at(words, i + 1))))).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(words, lambda w: bucket(F.xxhash64(w))), pairs)
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: bucket(F.xxhash64(F.element_at(hashes, i), F.element_at(hashes, i + 1))))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.transform(hashes, bucket), pairs)
 
 
 def base_columns(df: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; needs text (not null) and words."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; needs text (not null), words and hashes."""
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("lines", lines)
     # Windows are compared by 64-bit hashes; only texts that repeat some window sort them to find where.
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.slice("words", i, 3)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at("hashes", i), F.element_at("hashes", i + 1), F.element_at("hashes", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("grams", grams)
     df = df.withColumn("ranked", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     equal = lambda i, j: F.coalesce(F.get("ranked", i)["h"] == F.get("ranked", j)["h"], F.lit(False))
@@ -61,7 +66,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Col
     good = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(1))
     good = scratch.save(good, "good")
     rows = docs.select("doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words")).join(maybe_broadcast(good, good.count()), "doc_id", "left")
-    found = rows.select(F.col("good"), F.explode(features("words")).alias("bucket"))
+    found = with_hashes(rows).select(F.col("good"), F.explode(features("hashes")).alias("bucket"))
     counts = found.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     counts = scratch.save(counts, "counts")
     whole = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
@@ -88,8 +93,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, min
     scratch = Scratch(docs.sparkSession)
     weights = bucket_weights(docs, trusted, scratch)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = base_columns(rows.withColumn("words", words_of("text")))
-    rows = rows.withColumn("features", features("words"))
+    rows = base_columns(with_hashes(rows.withColumn("words", words_of("text"))))
+    rows = rows.withColumn("features", features("hashes"))
     rows = rows.withColumn("total", F.aggregate("features", F.lit(0.0), lambda a, b: a + F.get(weights, b)))
     score = F.coalesce(F.try_divide("total", F.size("features").cast("double")), F.lit(0.0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -297,7 +297,7 @@ def test_op8_base_rules_and_ratio(spark, texts):
     assert all(got[i].kept for i, t in docs if t in good[:20]) and not any(got[i].kept for i, t in docs if t in junk)
     assert min(got[i].score for i, t in docs if t in good) > max(got[i].score for i, t in docs if t in junk)
     # the ratio itself, recomputed from the buckets that Spark's hash gives
-    feats = {r.doc_id: r.f for r in docs_of(spark, docs).select("doc_id", op8.words_of(F.coalesce("text", F.lit(""))).alias("words")).select("doc_id", op8.features("words").alias("f")).collect()}
+    feats = {r.doc_id: r.f for r in docs_of(spark, docs).select("doc_id", op8.words_of(F.coalesce("text", F.lit(""))).alias("words")).transform(op8.with_hashes).select("doc_id", op8.features("hashes").alias("f")).collect()}
     ids = {r.doc_id for r in trusted.collect()}
     raw, target = Counter(x for f in feats.values() for x in f), Counter(x for i, f in feats.items() if i in ids for x in f)
     n, m, b = sum(raw.values()), sum(target.values()), op8.BUCKETS
