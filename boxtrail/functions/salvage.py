@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 #: Keys of a list of predictions, and the names of each field in order of precedence.
 LIST_KEYS = ("track_predictions", "p", "predictions")
@@ -81,4 +80,8 @@ def predictions(text: Column) -> Column:
     """prediction_rows() as an array of structs."""
     kinds = {"long": T.LongType(), "string": T.StringType(), "double": T.DoubleType()}
     row = T.StructType([T.StructField(name, kinds[kind]) for name, kind in (f.split() for f in ROW.split(", "))])
-    return F.pandas_udf(lambda column: pd.Series([prediction_rows(t) for t in column], dtype=object), T.ArrayType(row), functionType=PandasUDFType.SCALAR)(text)
+
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([prediction_rows(t) for t in column], dtype=object)
+
+    return F.pandas_udf(run, T.ArrayType(row))(text)
