@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,19 +27,22 @@ EDGE = ENDINGS - 1
 ROWS = 1 << 14  # hashed features
 FEATURES = 6
 ROUNDS = 3  # each training text takes part in one
-STEP = 4096  # tokens of a gradient step
+STEP = 8192  # tokens of a gradient step
 RATE = 0.5
-HOT = 200_000  # most frequent words whose counts every task has; the others are joined
+HOT = 300_000  # at most so many frequent words, whose counts every task has; the others are joined
 ADD = 0.1
-SLICE = 1_000_000  # characters handled at once
+SLICE = 3_000_000  # characters handled at once
 
 
 class PackedWords(WordHashes):
     """64-bit word hashes whose low bits are the word's ending."""
 
+    LIMIT = 400_000  # about 80 MB
+
     def __missing__(self, word: bytes) -> int:
-        value = super().__missing__(word)
-        value = self[word] = (value & ~(ENDINGS - 1)) | zlib.crc32(word[-2:]) % EDGE
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = (xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1)) | zlib.crc32(word[-2:]) % EDGE
         return value
 
 
@@ -89,11 +93,10 @@ def gradient_steps(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, tar
         r, y = rows[at : at + STEP], target[at : at + STEP]
         error = probabilities(weights, r)
         error[np.arange(len(y)), y] -= 1
-        flat = r.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        sums = np.add.reduceat(error[order // r.shape[1]], starts, axis=0)
-        touched = flat[order[starts]]
+        flat = r.T.ravel().astype(np.intp)
+        touched = np.flatnonzero(np.bincount(flat, minlength=ROWS))
+        of_class = error.T.astype(np.float64)
+        sums = np.stack([np.bincount(flat, np.tile(e, r.shape[1]), ROWS)[touched] for e in of_class], axis=1)
         scale[touched] += (sums * sums).mean(axis=1)
         weights[touched] -= RATE * sums / np.sqrt(scale[touched] + 1e-6)[:, None]
 
@@ -182,7 +185,7 @@ class Model:
 
 
 def _score(model: Model):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_context", "rare", "times"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_context", "rare"]
     log_hot = np.log10(model.hot_counts + ADD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +204,11 @@ def _score(model: Model):
             hot = model.hot_tokens[spot] == token if len(model.hot_tokens) else np.zeros(len(token), bool)
             known = np.bincount(text[hot], minlength=n)
             counts = np.bincount(text[hot], log_hot[spot[hot]], n) if hot.any() else np.zeros(n)
-            # the other words, once per text
-            t, w = text[~hot], token[~hot]
-            order = np.lexsort((w, t))
-            t, w = t[order], w[order]
-            first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])])) if len(t) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(t)))
-            cuts = pa.array(np.searchsorted(t[first], np.arange(n + 1)).astype(np.int32))
+            # the other words go to the join, text by text
+            cuts = pa.array(np.searchsorted(text[~hot], np.arange(n + 1)).astype(np.int32))
+            rare = pa.ListArray.from_arrays(cuts, pa.array(token[~hot]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.bincount(text, minlength=n)), pa.array(known), pa.array(counts), pa.array(np.bincount(text, context, n)), pa.ListArray.from_arrays(cuts, pa.array(w[first])), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))],
+                [part.column(0), part.column(1), pa.array(np.bincount(text, minlength=n)), pa.array(known), pa.array(counts), pa.array(np.bincount(text, context, n)), rare],
                 names,
             )
 
@@ -233,7 +232,14 @@ def fit(training: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame, float,
         size[class_of[r["e"]]] += r["c"] + ADD * r["v"]
     size[1:] += ADD  # the unseen words of a class; the end is never unseen
     size = np.maximum(size, ADD)
-    hot = sorted((r["token"], r["c"]) for r in counts.orderBy(F.desc("c"), "token").limit(HOT).collect())
+    # The least count of which at most HOT words have as much, from a histogram of a few hundred bins: sorting all counts
+    # would send HOT rows of each partition to the driver.
+    bins, words, least = counts.groupBy(F.floor(8 * F.log2("c")).alias("bin")).agg(F.min("c").alias("c"), F.count("*").alias("n")).orderBy(F.desc("bin")).collect(), 0, None
+    for r in bins:
+        words += r["n"]
+        if words <= HOT:
+            least = r["c"]
+    hot = sorted((r["token"], r["c"]) for r in counts.where(F.col("c") >= least).collect()) if least else []
     weights = np.zeros((ROWS, CLASSES), np.float32)
     shard = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     wide = ", ".join(f"w{j} float" for j in range(CLASSES))
@@ -263,12 +269,12 @@ def score_texts(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     model, counts, total, kinds = fit(train_on, scratch)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_context double, rare array<long>, times array<int>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_context double, rare array<long>"
     scored = scratch.save(slim.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    found = rare.join(counts, "token", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = scored.drop("rare", "times").join(sums, "row", "left")
+    rare = scored.select("row", F.explode("rare").alias("token"))
+    found = rare.join(counts, "token", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
+    sums = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + F.lit(ADD))).alias("more"), F.count_if(F.col("c") > 0).alias("known"))
+    out = scored.drop("rare").join(sums, "row", "left")
     counted = F.col("log_counts") + F.coalesce("more", F.lit(0.0))
     base = counted - F.col("n_tokens") * float(np.log10(total + ADD * (kinds + 1)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (counted + F.col("log_context")).alias("score"))
