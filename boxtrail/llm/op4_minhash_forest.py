@@ -25,7 +25,7 @@ PREFIX = 2  # shortest shared prefix of a candidate
 OFFSETS = (1, 2, 3, 5, 13, 47)
 REACH = OFFSETS[-1]
 HUBS = 64  # classes of a component that stand for it when others are compared with it
-SLACK = 11  # equal values that a pair at the threshold may lack, over three deviations
+SLACK = 14  # equal values that a pair at the threshold may lack: over four deviations
 BLOCK = 400_000  # shingles hashed at once, for bounded memory
 
 
@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     without an id take part as copies only; repeated rows of one id all get the same result. An empty table gives no rows.
 
     Each row costs TREES sorted keys of 2 * VALUES bytes; a pair at the threshold is missed by all trees with a
-    probability of about (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80. Every confirmed link is exact.
+    probability of (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80, and by its estimate (SLACK) with 2e-6 for 85 and 1.4e-5 for 80. In a region
+    of thousands of like texts a text that reaches the threshold with a single one can stay out. Every confirmed link is exact.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -215,6 +216,7 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
     ra, rb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
     rest = pairs.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = rest.join(ra, "a", "left").join(rb, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb").select("a", "b", "ra", "rb")
+    rest = scratch.save(rest, "crossing")  # read three times below
     # Texts made from one another resemble all of their kind, but reach the threshold with few of them: beside the pairs found, each
     # class meets HUBS of the other component, those that resemble their neighbours most: they have changed least.
     central = pairs.select("a", "score").union(pairs.select("b", "score")).groupBy("a").agg(F.avg("score").alias("n")).join(labels.toDF("a", "r"), "a")

@@ -12,11 +12,13 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxtrail.llm.common import bounded_batches, table
 
@@ -204,34 +206,41 @@ def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(network)], pa.binary())], ["network"])
 
 
+def label_texts(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Label and score of each text, in slices of bounded size."""
+    label, score = [UNDECIDED] * len(texts), [0.0] * len(texts)
+    at, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if network is not None and text and LETTER.search(text):
+            at.append(i)
+            held.append(text.encode())
+            size += len(held[-1])
+        if held and (size > 1_000_000 or i + 1 == len(texts)):
+            for k, p in zip(at, network.pooled(held), strict=True):
+                label[k], score[k] = network.labels[int(p.argmax())], float(min(1.0, p.max()))
+            at, held, size = [], [], 0
+    return label, score
+
+
 def _label(network: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["doc_id", "lang_pred", "score"], [pa.int64(), pa.string(), pa.float64()]
         for batch in batches:
-            label, score = [UNDECIDED] * batch.num_rows, [0.0] * batch.num_rows
-            at, held, size = [], [], 0
-
-            def flush():
-                for i, p in zip(at, network.pooled(held), strict=True):
-                    label[i], score[i] = network.labels[int(p.argmax())], float(min(1.0, p.max()))
-
-            for i, text in enumerate(batch.column(1)):
-                text = text.as_py()
-                if network is None or not text or not LETTER.search(text):
-                    continue
-                at.append(i)
-                held.append(text.encode())
-                size += len(held[-1])
-                if size > 1_000_000:
-                    flush()
-                    at, held, size = [], [], 0
-            if at:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, kinds[1]), pa.array(score, kinds[2])], names)
+            label, score = label_texts(network, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def label_column(network: Network | None):
+    """A function of a text column that gives a struct (lang_pred, score), to label rows in place."""
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        label, score = label_texts(network, [t if isinstance(t, str) else None for t in text])
+        return pd.DataFrame({"lang_pred": label, "score": score})
+
+    return F.pandas_udf(run, T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()))
+
+
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (the mean probability of that label over all byte positions).
 

@@ -19,7 +19,7 @@ from boxtrail.llm.common import Scratch, bounded_batches, table
 from boxtrail.llm.op2_byte_bpe import encode_and_decode
 from boxtrail.llm.op3_winnowing import decontaminate
 from boxtrail.llm.op4_minhash_forest import near_duplicates
-from boxtrail.llm.op6_byte_gru import UNDECIDED, identify, train_on_documents
+from boxtrail.llm.op6_byte_gru import UNDECIDED, label_column, train_on_documents
 from boxtrail.llm.op7_sparse_suffixes import repeated_windows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,8 +32,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that the network assigns to no language."""
     docs = docs.select(*COLUMNS)
-    found = identify(docs, train_on_documents(docs)).where((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    label = label_column(train_on_documents(docs))
+    kept = docs.withColumn("found", label("text")).where((F.col("found.lang_pred") != UNDECIDED) & (F.col("found.score") >= LEAST_LANGUAGE))
+    return kept.select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
