@@ -170,8 +170,20 @@ def _sample_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(order, pa.int64()), pa.array(rows, pa.binary())], ["lang", "key", "bytes"])
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
-    """A network from rows (doc_id, text, lang); None without a labelled row that has a letter.
+def no_language(rows: np.ndarray, n: int) -> np.ndarray:
+    """n segments in no language: a third each of text bytes in another order, of random printable bytes, and of random letters of other scripts."""
+    rng = np.random.default_rng(13)
+    third = -(-n // 3)
+    mixed = rng.permuted(rows[rng.integers(0, len(rows), third)], axis=1)
+    printable = rng.integers(33, 127, (third, SEGMENT), dtype=np.uint8)
+    starts = rng.choice([0x0391, 0x0410, 0x05D0, 0x0627, 0x0905, 0x3041, 0x4E00, 0xAC00], third)
+    other = ["".join(map(chr, at + rng.integers(0, 25, SEGMENT))).encode()[:SEGMENT] for at in starts]
+    return np.concatenate([mixed, printable, np.frombuffer(b"".join(other), np.uint8).reshape(-1, SEGMENT)])[:n]
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, reject: bool = False) -> Network | None:
+    """A network from rows (doc_id, text, lang); None without a labelled row that has a letter. With reject, it also learns UNDECIDED from segments
+    in no language.
 
     About train_docs rows of each label are taken, those of the smallest hashes of their ids, and DOC_SEGMENTS segments of each: what the
     task holds that trains is bounded by these and by LANGUAGES.
@@ -185,25 +197,33 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * train_docs / n)))])
     picked = labelled.where(key < share[F.col("lang")]).select("lang", key.alias("key"), "text")
     sample = picked.mapInArrow(_sample_segments, "lang string, key long, bytes binary").orderBy("key", "lang", "bytes").limit(2 * train_docs * DOC_SEGMENTS * len(counts))
-    fitted = sample.mapInArrow(_fit_sample, "network binary").collect()  # one task: the sample is bounded, and workers keep to one thread
+    fitted = sample.mapInArrow(_fit_sample(reject), "network binary").collect()  # one task: the sample is bounded, and workers keep to one thread
     return pickle.loads(fitted[0]["network"]) if fitted else None
 
 
-def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, raw = [], []
-    for batch in batches:
-        names += batch.column(0).to_pylist()
-        raw += batch.column(2).to_pylist()
-    if not names:
-        return
-    labels = sorted(set(names))
-    target = np.array([labels.index(x) for x in names])
-    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SEGMENT)
-    most = np.bincount(target).max()  # each label as often as the most frequent one
-    balanced = np.concatenate([np.resize(np.flatnonzero(target == j), most) for j in range(len(labels))])
-    network = Network(labels)
-    network.train(rows[balanced], target[balanced])
-    yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(network)], pa.binary())], ["network"])
+def _fit_sample(reject: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, raw = [], []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            raw += batch.column(2).to_pylist()
+        if not names:
+            return
+        labels = sorted(set(names))
+        target = np.array([labels.index(x) for x in names])
+        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, SEGMENT)
+        most = np.bincount(target).max()  # each label as often as the most frequent one
+        balanced = np.concatenate([np.resize(np.flatnonzero(target == j), most) for j in range(len(labels))])
+        rows, target = rows[balanced], target[balanced]
+        if reject and UNDECIDED not in labels:
+            rows = np.concatenate([rows, no_language(rows, most)])
+            target = np.concatenate([target, np.full(most, len(labels))])
+            labels.append(UNDECIDED)
+        network = Network(labels)
+        network.train(rows, target)
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(network)], pa.binary())], ["network"])
+
+    return run
 
 
 def label_texts(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -256,9 +276,9 @@ def remainder(modulus: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
-def train_on_documents(docs: DataFrame) -> Network | None:
+def train_on_documents(docs: DataFrame, reject: bool = False) -> Network | None:
     """Learns from the rows that are not held out."""
-    return fit(docs.where(remainder(4) != 2).select("doc_id", "text", "lang"))
+    return fit(docs.where(remainder(4) != 2).select("doc_id", "text", "lang"), reject=reject)
 
 
 def op6_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,16 +25,20 @@ from boxtrail.llm.op7_sparse_suffixes import repeated_windows
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE = 0.25  # mean probability of the label, below which a text is in no one language
+MOST_OUTSIDE = 0.95  # mean probability of "no language" from which a text is dropped; below it, short and mixed texts stay
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that the network assigns to no language."""
+    """Drops documents without a letter, and those of which the network, which here also learns segments in no language, takes almost every
+    position to be in none. Where nothing can be learned, only the first rule is left."""
     docs = docs.select(*COLUMNS)
-    label = label_column(train_on_documents(docs))
-    kept = docs.withColumn("found", label("text")).where((F.col("found.lang_pred") != UNDECIDED) & (F.col("found.score") >= LEAST_LANGUAGE))
-    return kept.select(*COLUMNS)
+    network = train_on_documents(docs, reject=True)
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = label_column(network)("text")
+    outside = (F.col("found.lang_pred") == UNDECIDED) & ((F.col("found.score") == 0) | (F.col("found.score") >= MOST_OUTSIDE))
+    return docs.withColumn("found", found).where(~outside).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,17 @@ def test_empty_documents(spark, folder, tmp_path):
     empty = spark.createDataFrame([], COLUMNS)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, folder[0]).count() == 0
+
+
+def test_language_drops_texts_in_no_language(spark, folder):
+    """Of another script, which takes little training; with little of it, random letters may still pass for a language."""
+    rng = random.Random(3)
+    other = " ".join("".join(chr(0x0410 + rng.randrange(25)) for _ in range(7)) for _ in range(40))
+    extra = [(301, other, None, None, 300), (302, "what thao", "en", None, 9)]
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 120").union(spark.createDataFrame(extra, COLUMNS))
+    assert {r.doc_id for r in pipeline.language(spark, docs, folder[0]).collect()} == set(range(120)) | {302}
+
+
+def test_language_without_labels_keeps_all_with_letters(spark, folder):
+    docs = spark.createDataFrame([(1, "some text", None, None, 9), (2, "12 34", None, None, 5), (3, None, None, None, 0)], COLUMNS)
+    assert [r.doc_id for r in pipeline.language(spark, docs, folder[0]).collect()] == [1]
