@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Each rule lists tokens that any matching URL must have. Token frequencies over all URLs pick the rarest of each, under which the
-rule is filed; the tokens of a URL fetch candidate rules, and only their regular expressions run on it.
+Each rule lists tokens that any matching URL must have; an entry of several, as "ad|ads", asks for one of them. Token frequencies over all
+URLs pick the rarest entry of each, under all of whose tokens the rule is filed; the tokens of a URL fetch candidate rules, and only their regular expressions run on it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ SITE_RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Fixed values: (pattern over host and path, tokens that it needs, verdict) for all other URLs; an allowing pattern outweighs blocking ones.
+#: Fixed values: (pattern over host and path, tokens that it needs, verdict) for all other URLs; "a|b" needs either token. An allowing pattern
+#: outweighs blocking ones.
 PATTERN_RULES = (
     (r"^(?:[^/]*[.-])?casino(?:[.-]|/|$)", ("casino",), "block"),
     (r"^(?:[^/]*[.-])?free-bets(?:[.-]|/|$)", ("free", "bets"), "block"),
@@ -29,7 +30,7 @@ PATTERN_RULES = (
     (r"^(?:[^/]*[.-])?(?:cheap-)?pills(?:[.-]|/|$)", ("pills",), "block"),
     (r"^(?:[^/]*[.-])?xxx(?:[.-]|/|$)", ("xxx",), "block"),
     (r"^(?:[^/]*[.-])?porn(?:[.-]|/|$)", ("porn",), "block"),
-    (r"^(?:[^/]*\.)?ads?\.", ("ads",), "block"),
+    (r"^(?:[^/]*\.)?ads?\.", ("ad|ads",), "block"),
     (r"/cgi-bin/", ("cgi", "bin"), "block"),
     (r"/wp-admin/", ("wp", "admin"), "block"),
     (r"^[^/]*/robots\.txt$", ("robots", "txt"), "allow"),
@@ -69,14 +70,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
         F.coalesce(F.regexp_extract("url", TARGET, 2), F.lit("")).alias("path"),
     )
     words = F.array_distinct(F.filter(F.split(F.translate(F.concat("host", "path"), UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
-    literal = known.select("id", F.explode("tokens").alias("token"))
+    literal = known.select("id", F.explode("tokens").alias("entry")).select("id", "entry", F.explode(F.split("entry", "[|]")).alias("token"))
     needed = maybe_broadcast(literal.select("token").distinct(), len(rows))
     seen = urls.select(F.explode(words).alias("token")).join(needed, "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = literal.join(seen, "token", "left").groupBy("id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    entries = literal.join(seen, "token", "left").groupBy("id", "entry").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.collect_set("token").alias("any"))
+    rarest = entries.groupBy("id").agg(F.min_by("any", F.struct("n", "entry")).alias("any")).select("id", F.explode("any").alias("token"))
     index = scratch.save(known.drop("tokens").join(rarest, "id"), "index")
 
     # the empty token keeps every URL, with or without candidates
-    fetched = urls.withColumn("token", F.explode(F.concat(F.array(F.lit("")), words))).join(maybe_broadcast(index, len(rows)), "token", "left")
+    fetched = urls.withColumn("token", F.explode(F.concat(F.array(F.lit("")), words))).join(maybe_broadcast(index, index.count()), "token", "left")
     hits = fetched.where((F.col("token") == "") | F.expr("concat(host, path) rlike pattern"))
     best = F.max_by(F.struct("site", "action"), F.struct(F.length("site"), -F.col("id")))
     tests = [F.coalesce(F.bool_or(F.col("site").isNull() & (F.col("action") == a)), F.lit(False)).alias(a) for a in ("block", "allow")]

@@ -321,6 +321,17 @@ def test_op9_equals_sql(spark):
     assert op9.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_op9_fetches_a_rule_by_either_of_its_tokens(spark):
+    urls = ["http://ad.example.de/x", "http://ads.example.de/x", "https://x.AD.de/", "http://my.ads.de", "http://add.de/", "http://bad.de/ad.", "http://ad.de/robots.txt", "http://ad.ads.de/", "http://ad/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((tuple(r) for r in op9.judge_urls(pages).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    assert got == sorted((tuple(r) for r in con.execute(op9.OP9_SQL).fetchall()), key=repr)
+    assert [r[4] for r in got] == ["block"] * 4 + ["allow"] * 3 + ["block", "allow"]
+
+
 def test_op10_equals_brute_force(spark, texts):
     docs = [*texts, "MIT License. mit  license", "the Apache license; GNU General Public License", "general public mit apache", "MIT-License mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "license mit license", "permission is hereby granted to any person obtaining a copy"]
     got = {r.doc_id: r for r in op10.scan(docs_of(spark, docs)).collect()}
