@@ -52,23 +52,24 @@ def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
-        def emit(ids, sets):
+        def emit(ids, rows, sets):
             full = [s for s in sets if len(s)]
-            rows = iter(signatures(full))
-            sig = [next(rows).astype(">u2").tobytes() if len(s) else None for s in sets]
+            each = iter(signatures(full))
+            sig = [next(each).astype(">u2").tobytes() if len(s) else None for s in sets]
             key = [_key(s) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row", "n_shingles", "set_key", "sig"])
 
         for batch in batches:
-            ids, sets, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, rows, sets, held = [], [], [], 0
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 sets.append(shingle_set(text.as_py(), k, hashes))
                 ids.append(doc_id)
+                rows.append(row)
                 held += len(sets[-1])
                 if held > BLOCK:
-                    yield emit(ids, sets)
-                    ids, sets, held = [], [], 0
-            yield emit(ids, sets)
+                    yield emit(ids, rows, sets)
+                    ids, rows, sets, held = [], [], [], 0
+            yield emit(ids, rows, sets)
 
     return run
 
@@ -165,20 +166,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     probability of (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80, and by its estimate (SLACK) with 2e-6 for 85 and 1.4e-5 for 80. In a region
     of thousands of like texts a text that reaches the threshold with a single one can stay out. Every confirmed link is exact.
     """
+    return row_verdicts(docs.select("doc_id", F.lit(None).cast("long").alias("row"), "text"), k, threshold).drop("row")
+
+
+def row_verdicts(docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """near_duplicates with a column row (long) of docs carried along, which tells rows apart that have no doc_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.save(slim.mapInArrow(_sign(k), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
+    signed = scratch.save(slim.mapInArrow(_sign(k), "doc_id long, row long, n_shingles long, set_key binary, sig binary"), "signed")
     classes = scratch.save(
         signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sig").alias("sig")),
         "classes",
     )
     roots = _linked_classes(spark, slim, classes, scratch, k, threshold)
     shared = classes.join(roots, classes.cid == roots.node, "left").where("copies > 1 or root is not null").select("set_key", F.coalesce("root", "cid").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(shared, "set_key", "left")
+    out = signed.select("doc_id", "row", "n_shingles", "set_key").join(shared, "set_key", "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, scratch: Scratch, k: int, threshold: int) -> DataFrame:
@@ -194,7 +200,7 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "set_key"), "cid")
     wanted = scratch.save(wanted, "wanted")
     want = maybe_broadcast(wanted.withColumnRenamed("cid", "doc_id"), wanted.count())
-    sets = slim.join(want, "doc_id").select(F.col("doc_id").alias("cid"), "set_key", "text").mapInArrow(_full_sets(k), "cid long, members array<long>")
+    sets = slim.drop("row").join(want, "doc_id").select(F.col("doc_id").alias("cid"), "set_key", "text").mapInArrow(_full_sets(k), "cid long, members array<long>")
     sets = scratch.save(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:

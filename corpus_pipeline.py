@@ -14,13 +14,14 @@ import public_tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxtrail.llm.common import Scratch, bounded_batches, table
 from boxtrail.llm.op2_byte_bpe import encode_and_decode
 from boxtrail.llm.op3_winnowing import decontaminate
-from boxtrail.llm.op4_minhash_forest import near_duplicates
+from boxtrail.llm.op4_minhash_forest import row_verdicts
 from boxtrail.llm.op6_byte_gru import UNDECIDED, label_column, train_on_documents
-from boxtrail.llm.op7_sparse_suffixes import repeated_windows
+from boxtrail.llm.op7_sparse_suffixes import repeated_windows, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,10 +43,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest doc_id, once."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs, k=5, threshold=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: of the smallest doc_id and, where rows share it, one of them. Rows count by themselves, so texts that
+    differ stay apart under one doc_id; of rows without a doc_id those stay that near_duplicates keeps: all but copies of a row that has one."""
+    rows = Scratch(spark).save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    found = row_verdicts(rows.select(F.expr("if(doc_id is null, null, row)").alias("doc_id"), "row", "text"), k=5, threshold=80)
+    named = found.where("doc_id is not null").select("row", "component_id").join(rows.select("row", "doc_id"), "row")
+    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+    kept = least.unionByName(found.where("doc_id is null and kept").select("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [text_key(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "text_key"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,21 +78,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes each passage of 50 words or more that occurs before, in a document of a smaller doc_id or further up; drops documents
-    of which nothing is left. n_chars follows the text."""
+    of which nothing is left. n_chars follows the text. Passages are found by the text, as rows may share a doc_id or have none."""
     docs = docs.select(*COLUMNS)
-    texts, marks = repeated_windows(docs)
-    later = texts.join(marks.where(F.size("later") > 0), "text_key").select("doc_id", "later")
-    bounded_batches(spark)
-    cut = docs.join(later, "doc_id").select(*COLUMNS, "later")
-    cut = cut.mapInArrow(_without, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
-    return docs.join(later.select("doc_id"), "doc_id", "left_anti").unionByName(cut)
+    marks = repeated_windows(docs)[1].where(F.size("later") > 0).select("text_key", "later")
+    keyed = docs.mapInArrow(_keyed, T.StructType([*docs.schema, T.StructField("text_key", T.BinaryType())])).join(marks, "text_key", "left").withColumn("whole", F.col("later").isNull())
+    cut = keyed.drop("text_key").mapInArrow(_without, T.StructType([*docs.schema, T.StructField("whole", T.BooleanType())]))
+    cut = cut.where(F.col("whole") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.withColumn("n_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are contaminated by benchmark items."""
+    """Drops documents that are contaminated by benchmark items. A text decides for itself, whatever its doc_id."""
     docs = docs.select(*COLUMNS)
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    key = F.xxhash64("text")
+    bad = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.withColumn("key", key).join(bad.withColumnRenamed("doc_id", "key"), "key", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,27 @@ def test_stages(spark, folder):
     assert all(r.n_tokens > 0 and re.fullmatch("[0-9a-f]{64}", r.decoded_sha256) for r in kept[4]) and ids[4] == ids[3]
 
 
+def test_stages_decide_by_row(spark, folder, tmp_path):
+    """Rows without a doc_id and rows that share one, through the stages after the first."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    a, b, c, d, e, passage, item = (prose(rng, n, words) for n in (120, 120, 120, 120, 120, 70, 30))
+    near = " ".join([*a.split()[:-1], "edited"])
+    rows = [(1, a), (7, b), (7, c), (7, b), (3, near), (9, d), (None, d), (None, e), (None, a + " " + e), (None, None)]
+    rows += [(12, passage + " " + prose(rng, 60, words)), (14, prose(rng, 80, words)), (14, prose(rng, 60, words) + " " + passage), (16, prose(rng, 100, words)), (16, prose(rng, 40, words) + " " + item), (None, prose(rng, 45, words) + " " + item)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).repartition(3)
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found), key=repr)
+    kept = pipeline.deduplicate(spark, docs, str(tmp_path)).collect()
+    assert order(kept) == sorted([x for i, x in enumerate(rows) if i not in (3, 4, 6)], key=repr)
+    docs = spark.createDataFrame(kept, COLUMNS)
+    cut = pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()
+    assert len(cut) == len(kept) and {r.text for r in cut if r.doc_id == 14} == {rows[11][1], rows[12][1].removesuffix(passage)}
+    assert all(r.n_chars == len(r.text or "") for r in cut) and {r.text for r in cut if r.doc_id == 7} == {b, c}
+    clean = pipeline.drop_contaminated(spark, spark.createDataFrame(cut, COLUMNS), str(tmp_path)).collect()
+    assert order(clean) == order(r for r in cut if item not in (r.text or ""))
+
+
 def test_run_gives_the_last_stage(spark, folder):
     assert {r.doc_id for r in pipeline.run(spark, folder[0]).collect()} == set(range(120)) | {210, 211}
 
