@@ -1,9 +1,9 @@
 """MinHash near-deduplication by an LSH forest.
 
 Every distinct shingle set gets a signature. Each tree of the forest is one sorted order of all
-signatures, rotated by the tree's permutation: rows close in that order share the longest prefixes. Rows are
-compared with some of the rows that follow, so that a sparse region is enumerated whole from its shortest shared prefix and a dense
-one goes deeper by itself. Candidate links are confirmed on the full sets; components follow.
+signatures, rotated by the tree's permutation: rows close in that order share the longest prefixes. A region (the rows that share a tree's shortest
+prefix) of few rows is enumerated whole. In a larger one near rows are compared first; between what these leave apart, an exact join on the rarest
+shingles finds all links. Candidate links are confirmed on the full sets; components follow.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, components
 VALUES = 64  # signature length; 16 bits of each minimum are kept
 TREES = 14
 PREFIX = 2  # shortest shared prefix of a candidate
-#: Distances in a sorted order at which rows are compared: the nearest, and some further off in the same region, as a run of rows that are alike
-#: would otherwise hide those beyond it.
+#: Distances in a sorted order at which rows of a dense region are compared first; of a region of at most REACH + 1 rows all pairs are.
 OFFSETS = (1, 2, 3, 5, 13, 47)
 REACH = OFFSETS[-1]
-HUBS = 64  # classes of a component that stand for it when others are compared with it
+BUCKETS = 1 << 20  # of the counts that order shingles by rarity; they decide on the work only, as any order is exact
+SALT = 1_000  # rows of a shingle in one block of the exact join
 SLACK = 14  # equal values that a pair at the threshold may lack: over four deviations
 BLOCK = 400_000  # shingles hashed at once, for bounded memory
 
@@ -112,7 +112,8 @@ def _tree_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(least: int, edges: bool):
-    """Candidates within a sorted run of rows; with edges, also the rows at both ends of the run."""
+    """Candidates within a sorted run of rows: all pairs of a region of at most REACH + 1 rows, those at OFFSETS in others; with edges, also
+    the rows at both ends of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "score", "tree", "key"]
@@ -134,12 +135,16 @@ def _neighbours(least: int, edges: bool):
             old = 0 if tail is None else len(tail[2])
             if old:
                 tree, key, cid = (np.concatenate(x) for x in zip(tail, (tree, key, cid), strict=True))
-            for j in (j for j in OFFSETS if j < len(cid)):
-                lo = max(0, old - j)  # pairs that end in the old rows were seen with the batch before
-                x, y = slice(lo, len(cid) - j), slice(lo + j, None)
-                same = key[x] == key[y]
-                score = same.sum(1)
-                hit = (tree[x] == tree[y]) & same[:, :PREFIX].all(1) & (score >= least)
+            starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (key[1:, :PREFIX] != key[:-1, :PREFIX]).any(1)]))
+            sizes = np.diff([*starts, len(cid)])
+            after = np.repeat(starts + sizes, sizes) - np.arange(len(cid))  # rows of the region from this one on
+            sparse = np.repeat(sizes <= REACH + 1, sizes)
+            for j in range(1, REACH + 1):
+                x = np.flatnonzero((after > j) & (sparse | (j in OFFSETS)))
+                x = x[x + j >= old]  # pairs that end in the old rows were seen with the batch before
+                y = x + j
+                score = (key[x] == key[y]).sum(1)
+                hit = score >= least
                 p, q, n = cid[x][hit], cid[y][hit], int(hit.sum())
                 if n:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), kinds[0]), pa.array(np.maximum(p, q), kinds[1]), pa.array(score[hit].astype(np.int32)), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4])], names)
@@ -150,6 +155,40 @@ def _neighbours(least: int, edges: bool):
     return run
 
 
+def _rarest(counts: np.ndarray, threshold: int):
+    """Of each set its rarest shingles: a partner of at most its size that reaches the threshold has one of them among its own short ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["s", "cid", "root", "n", "at", "short"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        for batch in batches:
+            for cid, root, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = members.values.to_numpy(zero_copy_only=False)
+                n = len(s)
+                s = s[np.lexsort((s, counts[s & (BUCKETS - 1)]))][: n + 1 - -(-threshold * n // 100)]
+                at = np.arange(len(s), dtype=np.int32)
+                short = at < n + 1 - -(-2 * threshold * n // (100 + threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int32)), pa.array(at), pa.array(short)], names)
+
+    return run
+
+
+def _exact_pairs(big: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """(a, b, ra, rb) with a < b: all pairs of big (cid, root, members) that can reach the threshold and have two roots. Two sets that reach it
+    share one of the rarest shingles of each (Xiao et al. 2008), by any one order; after the first of those enough others must be left."""
+    seen = big.select(F.explode("members").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[seen["bucket"].to_numpy()] = np.minimum(seen["n"].to_numpy(), 2**31 - 1)
+    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n int, at int, short boolean"), "rare")
+    used = rare.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.bool_or("short").alias("any"))
+    used = used.where("lo <> hi and any").select("s", F.ceil(F.col("rows") / SALT).cast("int").alias("blocks"))
+    rare = scratch.save(rare.join(used, "s"), "shared")
+    x = rare.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    y = rare.where("short").select("s", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    near = f"rx <> ry and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {threshold} * nx and {100 + threshold} * least(nx - ix, ny - iy) >= {threshold} * (nx + ny)"
+    found = x.join(y, ["s", "block"]).where(near)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, rx, ry)").alias("ra"), F.expr("if(x < y, ry, rx)").alias("rb")).distinct()
+
+
 PAIRS = "a long, b long, score int, tree int, key binary"
 
 
@@ -163,8 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     without an id take part as copies only; repeated rows of one id all get the same result. An empty table gives no rows.
 
     Each row costs TREES sorted keys of 2 * VALUES bytes; a pair at the threshold is missed by all trees with a
-    probability of (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80, and by its estimate (SLACK) with 2e-6 for 85 and 1.4e-5 for 80. In a region
-    of thousands of like texts a text that reaches the threshold with a single one can stay out. Every confirmed link is exact.
+    probability of (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80, and in a region of at most REACH + 1 rows by its estimate (SLACK) with
+    2e-6 for 85 and 1.4e-5 for 80. Rows of larger regions are joined exactly. Every confirmed link is exact.
     """
     return row_verdicts(docs.select("doc_id", F.lit(None).cast("long").alias("row"), "text"), k, threshold).drop("row")
 
@@ -192,12 +231,22 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
     keys = scratch.save(classes.where("cid is not null").select("cid", "sig").mapInArrow(_tree_keys, "tree int, key binary, cid long"), "keys")
     order = ["tree", "key", "cid"]
     found = scratch.save(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), PAIRS), "found")
-    ends = found.where("b is null").select("tree", "key", F.col("a").alias("cid")).distinct()  # a few rows of each partition
-    across = ends.repartitionByRange(1 + ends.count() // 200_000, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, False), PAIRS)
-    pairs = scratch.save(found.where("b is not null").select("a", "b", "score").union(across.select("a", "b", "score")).where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"), F.count("*").alias("trees")), "pairs")
+    met, level = found.where("b is not null").select("a", "b", "score"), found
+    for step in range(9):  # a few rows of each partition are left each time, at last one partition's
+        ends = level.where("b is null").select("tree", "key", F.col("a").alias("cid")).distinct()
+        parts = 1 + ends.count() // 200_000
+        dealt = ends.repartitionByRange(parts, *order) if parts > 1 else ends.coalesce(1)
+        level = scratch.save(dealt.sortWithinPartitions(*order).mapInArrow(_neighbours(least, parts > 1), PAIRS), f"across{step}")
+        met = met.union(level.where("b is not null").select("a", "b", "score"))
+        if parts == 1:
+            break
+    regions = keys.select("tree", F.substring("key", 1, 2 * PREFIX).alias("start"), "cid")
+    crowded = scratch.save(regions.groupBy("tree", "start").agg(F.count("*").alias("n")).where(F.col("n") > REACH + 1).select("tree", "start"), "crowded")
+    dense = scratch.save(regions.join(maybe_broadcast(crowded, crowded.count()), ["tree", "start"], "left_semi").select("cid").distinct(), "dense")
+    pairs = scratch.save(met.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"), F.count("*").alias("trees")), "pairs")
     scratch.drop("keys", "found")
 
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "set_key"), "cid")
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(dense).distinct().join(classes.select("cid", "set_key"), "cid")
     wanted = scratch.save(wanted, "wanted")
     want = maybe_broadcast(wanted.withColumnRenamed("cid", "doc_id"), wanted.count())
     sets = slim.drop("row").join(want, "doc_id").select(F.col("doc_id").alias("cid"), "set_key", "text").mapInArrow(_full_sets(k), "cid long, members array<long>")
@@ -222,15 +271,9 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
     ra, rb = labels.toDF("a", "ra"), labels.toDF("b", "rb")
     rest = pairs.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = rest.join(ra, "a", "left").join(rb, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb").select("a", "b", "ra", "rb")
-    rest = scratch.save(rest, "crossing")  # read three times below
-    # Texts made from one another resemble all of their kind, but reach the threshold with few of them: beside the pairs found, each
-    # class meets HUBS of the other component, those that resemble their neighbours most: they have changed least.
-    central = pairs.select("a", "score").union(pairs.select("b", "score")).groupBy("a").agg(F.avg("score").alias("n")).join(labels.toDF("a", "r"), "a")
-    hubs = central.groupBy("r", F.pmod(F.xxhash64("a"), F.lit(HUBS)).alias("slot")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
-    flipped = F.col("a") > F.col("hub")
-    to_hub = rest.union(rest.select("b", "a", "rb", "ra")).select("a", "ra", "rb").distinct().join(hubs.select(F.col("r").alias("rb"), "hub"), "rb")
-    to_hub = to_hub.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), F.when(flipped, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(flipped, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
-    rest = scratch.save(rest.union(to_hub).distinct(), "rest")
+    # Texts made from one another resemble all of their kind, but reach the threshold with few of them: in dense regions all that can are found.
+    big = sets.join(dense, "cid", "left_semi").join(labels.toDF("cid", "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "members")
+    rest = scratch.save(rest.union(_exact_pairs(big, scratch, threshold)).distinct(), "rest")
     found = linked(rest)
     top = found.toDF("root", "top")
     grown = labels.union(found.toDF("node", "root").join(labels.select("node"), "node", "left_anti"))

@@ -166,6 +166,23 @@ def test_op4_equals_brute_force(spark, texts, k, threshold):
     assert sorted(tuple(r) for r in got) == brute_op4(docs, k, threshold)
 
 
+def test_op4_finds_the_one_partner_in_a_family_below_the_threshold(spark):
+    """Relatives reach 0.8 or so with each other, and every second one 0.87 with one partner."""
+    rng = random.Random(21)
+    source, docs = [f"s{i}" for i in range(240)], []
+    edit = lambda v, n: [v.__setitem__(i, f"e{rng.randrange(10**9)}") for i in rng.sample(range(len(v)), n)]
+    for i in range(900):
+        if i % 2:
+            v = docs[-1][1].split()
+            edit(v, 5)
+        else:
+            v = list(source)
+            edit(v, 5)
+        docs.append((i, " ".join(v)))
+    got = op4.near_duplicates(docs_of(spark, docs), 3, 85).collect()
+    assert sorted(tuple(r) for r in got) == brute_op4(docs, 3, 85)
+
+
 def test_op4_empty_and_null_ids(spark):
     assert op4.near_duplicates(docs_of(spark, [])).count() == 0
     got = {(r.doc_id, r.component_id, r.kept) for r in op4.near_duplicates(docs_of(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, None)])).collect()}
