@@ -1,8 +1,9 @@
 """MinHash near-deduplication by an LSH forest.
 
-Every distinct shingle set gets a signature. Each tree of the forest is one sorted order of all
+Every distinct shingle set is a class and gets a signature. Each tree of the forest is one sorted order of all
 signatures, rotated by the tree's permutation: rows close in that order share the longest prefixes. A region (the rows that share a tree's shortest
-prefix) of few rows is enumerated whole. In a larger one near rows are compared first; between what these leave apart, an exact join on the rarest
+prefix) of few rows is enumerated whole. A larger one is descended by longer prefixes, each of its parts as deep as it takes to leave few rows, whose
+pairs are compared, and every row with its neighbour; between what these leave apart, an exact join on the rarest
 shingles finds all links. Candidate links are confirmed on the full sets; components follow.
 """
 
@@ -20,9 +21,9 @@ from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, components
 VALUES = 64  # signature length; 16 bits of each minimum are kept
 TREES = 14
 PREFIX = 2  # shortest shared prefix of a candidate
-#: Distances in a sorted order at which rows of a dense region are compared first; of a region of at most REACH + 1 rows all pairs are.
-OFFSETS = (1, 2, 3, 5, 13, 47)
-REACH = OFFSETS[-1]
+REACH = 47  # of a region of at most REACH + 1 rows all pairs are compared; larger ones are descended and then joined exactly
+LEAF = 8  # rows of a part of a larger region whose pairs are compared
+ENDS = 200_000  # rows at the ends of sorted runs that one task compares; more of them are sorted by range again
 BUCKETS = 1 << 20  # of the counts that order shingles by rarity; they decide on the work only, as any order is exact
 SALT = 1_000  # rows of a shingle in one block of the exact join
 SLACK = 14  # equal values that a pair at the threshold may lack: over four deviations
@@ -52,24 +53,21 @@ def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
 
-        def emit(ids, rows, sets):
+        def emit(part, sets):
             full = [s for s in sets if len(s)]
             each = iter(signatures(full))
             sig = [next(each).astype(">u2").tobytes() if len(s) else None for s in sets]
             key = [_key(s) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row", "n_shingles", "set_key", "sig"])
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_key", "sig"])
 
         for batch in batches:
-            ids, rows, sets, held = [], [], [], 0
-            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            start, sets, held = 0, [], 0
+            for i, text in enumerate(batch.column(2)):
                 sets.append(shingle_set(text.as_py(), k, hashes))
-                ids.append(doc_id)
-                rows.append(row)
                 held += len(sets[-1])
-                if held > BLOCK:
-                    yield emit(ids, rows, sets)
-                    ids, rows, sets, held = [], [], [], 0
-            yield emit(ids, rows, sets)
+                if held > BLOCK or i + 1 == batch.num_rows:
+                    yield emit(batch.slice(start, len(sets)), sets)
+                    start, sets, held = i + 1, [], 0
 
     return run
 
@@ -88,7 +86,7 @@ def _full_sets(k: int):
             cids, sets = [], []
             for cid, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), k, hashes)
-                if len(s) and _key(s) == key:  # another row under the same id has another set
+                if len(s) and _key(s) == key:
                     cids.append(cid)
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "members"])
@@ -111,9 +109,30 @@ def _tree_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), cids], ["tree", "key", "cid"])
 
 
+def _leaves(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each of the sorted rows the end of the rows after it with which it is compared: those of its region of at most REACH + 1 rows, of its part of at
+    most LEAF rows of a larger region, at the least prefix that has so few, and always its next neighbour in the region."""
+    n = len(tree)
+    same = key[1:] == key[:-1]
+    shared = np.where(same.all(1), VALUES, same.argmin(1))  # values that a row has in common with the next one, from the first on
+    shared[tree[1:] != tree[:-1]] = 0
+    last, left, most = np.arange(n) + 1, np.ones(n, bool), REACH + 1
+    for depth in range(PREFIX, VALUES + 1):
+        starts = np.flatnonzero(np.concatenate([[True], shared < depth]))
+        sizes = np.diff([*starts, n])
+        few = left & np.repeat(sizes <= most, sizes)
+        last[few] = np.repeat(starts + sizes, sizes)[few]
+        left &= ~few
+        most = LEAF
+        if not left.any():
+            break
+    next_too = np.flatnonzero(shared >= PREFIX)
+    last[next_too] = np.maximum(last[next_too], next_too + 2)
+    return last
+
+
 def _neighbours(least: int, edges: bool):
-    """Candidates within a sorted run of rows: all pairs of a region of at most REACH + 1 rows, those at OFFSETS in others; with edges, also
-    the rows at both ends of the run."""
+    """Candidates within a sorted run of rows; with edges, also the rows at both ends of the run, whose neighbours another task has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "score", "tree", "key"]
@@ -135,12 +154,9 @@ def _neighbours(least: int, edges: bool):
             old = 0 if tail is None else len(tail[2])
             if old:
                 tree, key, cid = (np.concatenate(x) for x in zip(tail, (tree, key, cid), strict=True))
-            starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (key[1:, :PREFIX] != key[:-1, :PREFIX]).any(1)]))
-            sizes = np.diff([*starts, len(cid)])
-            after = np.repeat(starts + sizes, sizes) - np.arange(len(cid))  # rows of the region from this one on
-            sparse = np.repeat(sizes <= REACH + 1, sizes)
+            last, at = _leaves(tree, key), np.arange(len(cid))
             for j in range(1, REACH + 1):
-                x = np.flatnonzero((after > j) & (sparse | (j in OFFSETS)))
+                x = np.flatnonzero(last > at + j)
                 x = x[x + j >= old]  # pairs that end in the old rows were seen with the batch before
                 y = x + j
                 score = (key[x] == key[y]).sum(1)
@@ -198,43 +214,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     docs needs doc_id (long) and text; other columns are ignored. Two rows are linked when
     100 * intersection >= threshold * union of their sets of k-word shingles. component_id is the
     smallest doc_id reachable; kept marks the row whose id it is. Empty or null texts have no set and
-    stay alone. Copies (rows with equal sets) are one class, so no pairs of copies are made. Rows
-    without an id take part as copies only; repeated rows of one id all get the same result. An empty table gives no rows.
+    stay alone. Copies (rows with equal sets) are one class, so no pairs of copies are made. Every row counts by its own text:
+    rows that share an id link what each of them resembles, and rows without one link others too. Where no row of a component has an id,
+    component_id is null and all are kept. An empty table gives no rows.
 
-    Each row costs TREES sorted keys of 2 * VALUES bytes; a pair at the threshold is missed by all trees with a
-    probability of (1 - (threshold / 100) ** PREFIX) ** TREES, below 1e-6 for 80, and in a region of at most REACH + 1 rows by its estimate (SLACK) with
-    2e-6 for 85 and 1.4e-5 for 80. Rows of larger regions are joined exactly. Every confirmed link is exact.
+    Each class costs TREES sorted keys of 2 * VALUES bytes; a pair at the threshold shares no region in any tree with a
+    probability of (1 - (threshold / 100) ** PREFIX) ** TREES (below 1e-7 for 85, 1e-6 for 80), and in a region of at most REACH + 1 rows it is dropped by its estimate (SLACK) with
+    2e-6 for 85 and 1.4e-5 for 80. Rows of larger regions are joined exactly, so nothing is lost there. Every confirmed link is exact.
     """
-    return row_verdicts(docs.select("doc_id", F.lit(None).cast("long").alias("row"), "text"), k, threshold).drop("row")
-
-
-def row_verdicts(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """near_duplicates with a column row (long) of docs carried along, which tells rows apart that have no doc_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", "text")
-    signed = scratch.save(slim.mapInArrow(_sign(k), "doc_id long, row long, n_shingles long, set_key binary, sig binary"), "signed")
-    classes = scratch.save(
-        signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("sig").alias("sig")),
-        "classes",
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    signed = scratch.save(slim.mapInArrow(_sign(k), "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary"), "signed")
+    grouped = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = scratch.save(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = _linked_classes(spark, slim, classes, scratch, k, threshold)
-    shared = classes.join(roots, classes.cid == roots.node, "left").where("copies > 1 or root is not null").select("set_key", F.coalesce("root", "cid").alias("root"))
-    out = signed.select("doc_id", "row", "n_shingles", "set_key").join(shared, "set_key", "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    joined = roots.join(classes.select(F.col("cid").alias("node"), "set_key", "least"), "node")
+    lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = joined.select("root", "set_key").join(lowest, "root").select("set_key", "component_id")
+    copies = classes.where("copies > 1").select("set_key", "least").join(linked, "set_key", "full")
+    shared = copies.select("set_key", F.coalesce("component_id", "least").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "set_key").join(shared, "set_key", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, scratch: Scratch, k: int, threshold: int) -> DataFrame:
+    """(node, root) of the classes that have a link."""
     least = max(PREFIX, int(VALUES * threshold / 100) - SLACK)
-    keys = scratch.save(classes.where("cid is not null").select("cid", "sig").mapInArrow(_tree_keys, "tree int, key binary, cid long"), "keys")
+    keys = scratch.save(classes.select("cid", "sig").mapInArrow(_tree_keys, "tree int, key binary, cid long"), "keys")
     order = ["tree", "key", "cid"]
     found = scratch.save(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, True), PAIRS), "found")
     met, level = found.where("b is not null").select("a", "b", "score"), found
-    for step in range(9):  # a few rows of each partition are left each time, at last one partition's
+    for step in range(20):  # a few rows of each partition are left each time, at last one partition's
         ends = level.where("b is null").select("tree", "key", F.col("a").alias("cid")).distinct()
-        parts = 1 + ends.count() // 200_000
+        parts = 1 + ends.count() // ENDS
         dealt = ends.repartitionByRange(parts, *order) if parts > 1 else ends.coalesce(1)
         level = scratch.save(dealt.sortWithinPartitions(*order).mapInArrow(_neighbours(least, parts > 1), PAIRS), f"across{step}")
         met = met.union(level.where("b is not null").select("a", "b", "score"))
@@ -246,10 +261,12 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
     pairs = scratch.save(met.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"), F.count("*").alias("trees")), "pairs")
     scratch.drop("keys", "found")
 
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(dense).distinct().join(classes.select("cid", "set_key"), "cid")
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(dense).distinct().join(classes.select("cid", "set_key", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "cid")
     wanted = scratch.save(wanted, "wanted")
-    want = maybe_broadcast(wanted.withColumnRenamed("cid", "doc_id"), wanted.count())
-    sets = slim.drop("row").join(want, "doc_id").select(F.col("doc_id").alias("cid"), "set_key", "text").mapInArrow(_full_sets(k), "cid long, members array<long>")
+    want = maybe_broadcast(wanted, wanted.count())
+    # a class is fetched by one of its texts; what else answers to that id and hash has another set, or an equal one
+    one_of = slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))
+    sets = slim.join(want, one_of).select("cid", "set_key", "text").mapInArrow(_full_sets(k), "cid long, members array<long>")
     sets = scratch.save(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
     def confirmed(some: DataFrame) -> DataFrame:
@@ -282,3 +299,20 @@ def _linked_classes(spark: SparkSession, slim: DataFrame, classes: DataFrame, sc
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85)
+
+
+#: The same rows by counting the shingles that any two rows have in common.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS gram
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.gram = y.gram AND x.r <> y.r GROUP BY x.r, y.r),
+link AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, component_id IS NULL) AS kept
+FROM d JOIN low ON a = d.r LEFT JOIN n ON n.r = d.r
+"""

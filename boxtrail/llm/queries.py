@@ -7,7 +7,7 @@ from collections.abc import Callable
 from boxtrail.llm.op1_merkle_audit import OP1_SQL, op1_merkle_audit
 from boxtrail.llm.op2_byte_bpe import op2_byte_bpe
 from boxtrail.llm.op3_winnowing import OP3_SQL, op3_winnowing
-from boxtrail.llm.op4_minhash_forest import op4_minhash_forest
+from boxtrail.llm.op4_minhash_forest import OP4_SQL, op4_minhash_forest
 from boxtrail.llm.op5_maxent_lm import op5_maxent_lm
 from boxtrail.llm.op6_byte_gru import op6_byte_gru
 from boxtrail.llm.op7_sparse_suffixes import op7_sparse_suffixes
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable] = {
         op10_license_index,
     )
 }
-ORACLES: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op3_winnowing": OP3_SQL, "op9_url_rules": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op3_winnowing": OP3_SQL, "op4_minhash_forest": OP4_SQL, "op9_url_rules": OP9_SQL}

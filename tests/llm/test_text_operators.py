@@ -183,10 +183,56 @@ def test_op4_finds_the_one_partner_in_a_family_below_the_threshold(spark):
     assert sorted(tuple(r) for r in got) == brute_op4(docs, 3, 85)
 
 
+def test_op4_compares_across_several_partitions_of_ends(spark, monkeypatch):
+    """The rows at the ends of sorted runs fill several partitions, for some levels."""
+    monkeypatch.setattr(op4, "ENDS", 300)
+    rng = random.Random(22)
+    docs = []
+    for i in range(700):
+        if i % 2:
+            v = docs[-1][1].split()
+            v[rng.randrange(len(v))] = "changed"
+            docs.append((i, " ".join(v)))
+        else:
+            docs.append((i, prose(rng, 60, 9000)))
+    frame = docs_of(spark, docs)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = op4.near_duplicates(frame, 3, 85).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r) for r in got) == brute_op4(docs, 3, 85)
+
+
+def test_op4_descends_larger_regions():
+    """Rows of a region are compared whole up to REACH + 1, beyond that in parts of at most LEAF rows, and neighbours always."""
+    key = np.zeros((100, op4.VALUES), np.uint16)
+    key[:, op4.PREFIX] = np.arange(100) // 5
+    last = op4._leaves(np.zeros(100, int), key)
+    assert last.tolist() == [max(5 * (i // 5) + 5, min(i + 2, 100)) for i in range(100)]
+    assert op4._leaves(np.zeros(40, int), key[:40]).tolist() == [40] * 40
+    assert op4._leaves(np.arange(3), key[:3]).tolist() == [1, 2, 3]
+    assert op4._leaves(np.zeros(60, int), key[:1].repeat(60, 0)).tolist() == [min(i + 2, 60) for i in range(60)]
+
+
+def test_op4_repeated_ids_with_other_texts(spark):
+    rng = random.Random(30)
+    a, b = prose(rng, 90, 5000), prose(rng, 90, 5000)
+    docs = [(5, a), (5, b), (8, a + " more"), (9, b + " more"), (7, a), (6, None), (6, prose(rng, 50, 5000))]
+    got = op4.near_duplicates(docs_of(spark, docs), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True), (7, 5, False), (8, 5, False), (9, 5, False)]
+
+
 def test_op4_empty_and_null_ids(spark):
     assert op4.near_duplicates(docs_of(spark, [])).count() == 0
     got = {(r.doc_id, r.component_id, r.kept) for r in op4.near_duplicates(docs_of(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (None, None)])).collect()}
     assert got == {(None, 4, False), (4, 4, True), (None, None, True)}
+    rng = random.Random(31)
+    a, b = prose(rng, 90, 5000), prose(rng, 90, 5000)
+    got = op4.near_duplicates(docs_of(spark, [(None, a), (3, a + " more"), (None, b), (None, b + " more")]), 3, 85).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == [(3, 3, True), (None, 3, False), (None, None, True), (None, None, True)]
 
 
 def test_op5_base_is_exact_and_the_model_sums_to_one(spark, texts):
