@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from boxtrail.llm.common import Scratch, bounded_batches, table
 from boxtrail.llm.op2_byte_bpe import encode_and_decode
 from boxtrail.llm.op3_winnowing import decontaminate
-from boxtrail.llm.op4_minhash_forest import row_verdicts
+from boxtrail.llm.op4_minhash_forest import near_duplicates
 from boxtrail.llm.op6_byte_gru import UNDECIDED, label_column, train_on_documents
 from boxtrail.llm.op7_sparse_suffixes import repeated_windows, text_key
 
@@ -43,14 +43,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: of the smallest doc_id and, where rows share it, one of them. Rows count by themselves, so texts that
-    differ stay apart under one doc_id; of rows without a doc_id those stay that near_duplicates keeps: all but copies of a row that has one."""
+    """One row of each group of near duplicates: of the smallest doc_id, of rows that share it one, and a row without a doc_id only where all of the group
+    lack one. Rows count by themselves, so texts that differ stay apart under one doc_id. Rows without words all stay."""
     rows = Scratch(spark).save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
-    found = row_verdicts(rows.select(F.expr("if(doc_id is null, null, row)").alias("doc_id"), "row", "text"), k=5, threshold=80)
-    named = found.where("doc_id is not null").select("row", "component_id").join(rows.select("row", "doc_id"), "row")
-    least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
-    kept = least.unionByName(found.where("doc_id is null and kept").select("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), k=5, threshold=80)
+    members = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
