@@ -2,8 +2,8 @@
 
 A text's fingerprints are the least of each WINNOW consecutive hashes of GRAM words, so any WINDOW = GRAM + WINNOW - 1
 words that a document shares with a benchmark item have a fingerprint in common at the same place. Document and
-item fingerprints are joined, and every hit is extended: the WINDOW-word windows around it are compared word by word. Items
-of fewer words are fingerprinted by their first words and compared whole.
+item fingerprints are joined, and every hit is extended: the WINDOW-word windows around it are compared word by word with the
+item's words around its fingerprint. Items of fewer words are fingerprinted by their first words and compared whole.
 """
 
 from __future__ import annotations
@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import LOWER, UPPER, Scratch, maybe_broadcast, table
+from boxtrail.llm.common import LOWER, UPPER, Scratch, table
 
 WINDOW = 13
 GRAM = 8
 WINNOW = WINDOW - GRAM + 1
 HEAD = 3  # words by which shorter items are looked up, at most
-POSITION_BITS = 24  # low bits of a packed fingerprint: the position counted from the end, so that the rightmost of equals is least
-ITEM_ROWS = 500_000  # item fingerprints up to which they are broadcast; each is under 100 bytes with its words in a row of their own
+#: Low bits of a packed fingerprint: the position counted from the end, so that the rightmost of equals is least. An array of longs holds no more.
+POSITION_BITS = 28
+ITEM_BYTES = 64 << 20  # size of the item index up to which it is broadcast
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -28,10 +29,15 @@ def words_of(text: Column | str) -> Column:
     return F.filter(F.split(lower, NOT_WORD), lambda w: w != "")
 
 
-def _grams(words: str, k: int) -> Column:
-    """Hashes of all k consecutive words."""
-    n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def _with_codes(df: DataFrame) -> DataFrame:
+    """Adds codes, the hashes of words, from which those of several words are made, so that no word is hashed twice."""
+    return df.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def _grams(k: int) -> Column:
+    """Hashes of all k consecutive words, from codes."""
+    n = F.size("codes")
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("codes", i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _packed(hashes: str) -> Column:
@@ -52,23 +58,25 @@ def _print(packed: Column) -> tuple[Column, Column]:
 
 
 def _with_prints(df: DataFrame) -> DataFrame:
-    """Adds prints, the winnowed fingerprints of words."""
-    return df.withColumn("hashes", _grams("words", GRAM)).withColumn("packed", _packed("hashes")).drop("hashes").withColumn("prints", _winnowed("packed")).drop("packed")
+    """Adds prints, the winnowed fingerprints of words; needs codes."""
+    return df.withColumn("hashes", _grams(GRAM)).withColumn("packed", _packed("hashes")).drop("hashes").withColumn("prints", _winnowed("packed")).drop("packed")
 
 
 def _head_prints(k: int) -> Column:
-    return F.transform(_grams("words", k), lambda h, i: F.struct(F.lit(k).alias("kind"), h.alias("print"), i.alias("pos")))
+    return F.transform(_grams(k), lambda h, i: F.struct(F.lit(k).alias("kind"), h.alias("print"), i.alias("pos")))
 
 
 def item_index(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
-    """(kind, print, at, item_id, item_words): kind 0 for winnowed items, else the number of head words of shorter ones."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0).distinct()
+    """(kind, print, at, item_id, near): kind 0 for winnowed items, else the number of head words of shorter ones. near holds the item's words that
+    windows over the fingerprint can have, and at the place of the fingerprint in it."""
+    items = _with_codes(benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("words")).where(F.size("words") > 0).distinct())
     long = _with_prints(items.where(F.size("words") >= WINDOW)).select("item_id", "words", F.explode("prints").alias("p"))
     bits, at = _print(F.col("p"))
-    long = long.select(F.lit(0).alias("kind"), bits.alias("print"), at.cast("int").alias("at"), "item_id", F.col("words").alias("item_words"))
+    first = F.greatest(at - (WINNOW - 1), F.lit(0)).cast("int")
+    long = long.select(F.lit(0).alias("kind"), bits.alias("print"), (at - first).cast("int").alias("at"), "item_id", F.slice("words", first + 1, WINDOW + WINNOW - 1).alias("near"))
     short = items.where(F.size("words") < WINDOW)
     head = F.least(F.lit(HEAD), F.size("words"))
-    short = short.select(head.alias("kind"), F.xxhash64(F.slice("words", 1, head)).alias("print"), F.lit(0).alias("at"), "item_id", F.col("words").alias("item_words"))
+    short = short.select(head.alias("kind"), F.xxhash64(F.slice("codes", 1, head)).alias("print"), F.lit(0).alias("at"), "item_id", F.col("words").alias("near"))
     return scratch.save(long.unionByName(short), "items")
 
 
@@ -78,34 +86,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. n_hit counts the words of
     the document inside any occurrence of WINDOW consecutive words of an item, or of a whole item of fewer words;
     contaminated is n_hit > 0 and 20 * n_hit >= n_words. A null or empty text has no words and no hits; an item without words
-    never occurs; items of equal text count each, repeated items once. Each row counts alone, repeated ids too. An empty
-    table of documents gives no rows, an empty benchmark no hits.
+    never occurs; items of equal text count each, repeated items once. The words of an item without an id are hit as those of
+    others, but it is not among the items and n_items doesn't count it. Each row counts alone, repeated ids too. An empty
+    table of documents gives no rows, an empty benchmark no hits. Texts of any length that an array of their words can hold are handled whole.
 
-    The item index is broadcast while it has at most ITEM_ROWS rows, so that documents are read once and only hits and one
-    row per document are shuffled; a larger one is joined by a shuffle on the fingerprint.
+    The item index has a bounded row for each fingerprint. It is broadcast while it takes at most ITEM_BYTES, so that documents are read once and only hits and one
+    row per document are shuffled; a larger one is joined by a shuffle on the fingerprint, and words are fetched for hits only.
     """
     scratch = Scratch(docs.sparkSession)
-    index = item_index(benchmark, scratch)
+    index = item_index(benchmark, scratch).withColumn("hit", F.lit(True))
     kinds = sorted(r[0] for r in index.select("kind").distinct().collect())  # at most HEAD + 1 values
-    size = index.count()
+    size = index.agg(F.sum(100 + F.length(F.array_join("near", " ")) + 20 * F.size("near"))).first()[0] or 0
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of("text").alias("words"))
+    rows = _with_codes(rows)
     rows = _with_prints(rows) if 0 in kinds else rows.withColumn("prints", F.array().cast("array<bigint>"))
-    if size > ITEM_ROWS:
+    if size > ITEM_BYTES:
         rows = scratch.save(rows, "rows")
     long = F.transform("prints", lambda p: F.struct(F.lit(0).alias("kind"), _print(p)[0].alias("print"), _print(p)[1].cast("int").alias("pos")))
     heads = [_head_prints(k) for k in kinds if k]
     # a row of kind -1 keeps every document, with or without fingerprints
     own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("print"), F.lit(0).alias("pos")))
-    prints = rows.select("row", "doc_id", "words", F.explode(F.concat(own, long, *heads)).alias("f")).select("row", "doc_id", "words", "f.kind", "f.print", "f.pos")
-    if size <= ITEM_ROWS:
-        joined = prints.join(maybe_broadcast(index, size, ITEM_ROWS), ["kind", "print"], "left")
+    places = rows.select("row", "doc_id", "words", F.concat(own, long, *heads).alias("places"))
+    # outer, as no array is empty: for others Spark would evaluate places once more, in a filter before
+    prints = places.select("row", "doc_id", "words", F.explode_outer("places").alias("f")).select("row", "doc_id", "words", "f.kind", "f.print", "f.pos")
+    if size <= ITEM_BYTES:
+        joined = prints.join(F.broadcast(index), ["kind", "print"], "left")
     else:
         hits = prints.where("kind >= 0").drop("words").join(index, ["kind", "print"])
-        joined = hits.join(rows.select("row", "words"), "row").unionByName(prints.where("kind < 0").withColumns({"at": F.lit(None).cast("int"), "item_id": F.lit(None).cast("string"), "item_words": F.lit(None).cast("array<string>")}))
-    joined = joined.where("kind < 0 or item_id is not null")
+        joined = hits.join(rows.select("row", "words"), "row").unionByName(prints.where("kind < 0"), allowMissingColumns=True)
+    joined = joined.where("kind < 0 or hit")
 
     # Starts of the windows that agree, as offsets from the hit's position; none for the row of kind -1.
-    m = F.least(F.lit(WINDOW), F.size("item_words"))
+    m = F.least(F.lit(WINDOW), F.size("near"))
     shift = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.lit(WINNOW - 1))).otherwise(F.array(F.lit(0)))
     doc_at, item_at = (lambda o: F.col("pos") - o), (lambda o: F.col("at") - o)
     agrees = F.filter(
@@ -113,10 +125,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda o: (doc_at(o) >= 0)
         & (item_at(o) >= 0)
         & (doc_at(o) + m <= F.size("words"))
-        & (item_at(o) + m <= F.size("item_words"))
-        & (F.slice("words", F.greatest(doc_at(o), F.lit(0)) + 1, m) == F.slice("item_words", F.greatest(item_at(o), F.lit(0)) + 1, m)),
+        & (item_at(o) + m <= F.size("near"))
+        & (F.slice("words", F.greatest(doc_at(o), F.lit(0)) + 1, m) == F.slice("near", F.greatest(item_at(o), F.lit(0)) + 1, m)),
     )
-    starts = F.when(F.col("item_id").isNotNull(), F.transform(agrees, lambda o: F.struct((F.col("pos") - o).alias("start"), (F.col("pos") - o + m).alias("end"))))
+    starts = F.when(F.col("hit"), F.transform(agrees, lambda o: F.struct((F.col("pos") - o).alias("start"), (F.col("pos") - o + m).alias("end"))))
     found = joined.select("row", "doc_id", F.when(F.col("kind") < 0, F.size("words").cast("long")).alias("n_words"), "item_id", starts.alias("spans")).where("n_words is not null or size(spans) > 0")
     # first each item of a document, then the document: neither gathers more than the places of one text
     parts = found.groupBy("row", "doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))

@@ -98,26 +98,26 @@ def brute_op3(docs, items):
     out = []
     for i, text in docs:
         w, hit, names = words(text), set(), set()
-        for item, t in set(items):
+        for item, t in sorted(set(items), key=repr):
             v = words(t)
             m = min(13, len(v))
             grams = {tuple(v[k : k + m]) for k in range(len(v) - m + 1)} if v else set()
             for k in range(len(w) - m + 1 if v else 0):
                 if tuple(w[k : k + m]) in grams:
                     hit |= set(range(k, k + m))
-                    names.add(str(item))
+                    names |= {str(item)} if item is not None else set()
         out.append((i, len(w), len(hit), len(names), ",".join(sorted(names)), bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [op3.ITEM_ROWS, 0])
+@pytest.mark.parametrize("limit", [op3.ITEM_BYTES, 0])
 def test_op3_equals_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(op3, "ITEM_ROWS", limit)
+    monkeypatch.setattr(op3, "ITEM_BYTES", limit)
     rng = random.Random(3)
     long, other = prose(rng, 40), prose(rng, 20)
-    items = [(1, long), (2, other), (10, "w1 w2"), (3, "w5"), (4, None), (5, ""), (2, other), (6, other), (7, prose(rng, 5)), (8, prose(rng, 12))]
+    items = [(1, long), (2, other), (10, "w1 w2"), (3, "w5"), (4, None), (5, ""), (2, other), (6, other), (7, prose(rng, 5)), (8, prose(rng, 12)), (None, prose(rng, 30)), (9, prose(rng, 13))]
     w = long.split()
-    docs = [(0, None), (1, ""), (2, long.upper()), (3, "x " * 30 + " ".join(w[5:18]) + " y" * 5), (4, " ".join(w[5:17])), (5, other + " " + long), (5, other), (6, "w1, w2! w1"), (7, prose(rng, 2000)), (8, items[8][1] + " z " + items[9][1]), (9, "é " + other)]
+    docs = [(0, None), (1, ""), (2, long.upper()), (3, "x " * 30 + " ".join(w[5:18]) + " y" * 5), (4, " ".join(w[5:17])), (5, other + " " + long), (5, other), (6, "w1, w2! w1"), (7, prose(rng, 2000)), (8, items[8][1] + " z " + items[9][1]), (9, "é " + other), (10, "q " + items[10][1]), (11, items[11][1] + " r"), (12, " ".join(items[10][1].split()[3:17]))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     got = op3.decontaminate(docs_of(spark, docs), benchmark).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got), key=repr) == brute_op3(docs, items)
