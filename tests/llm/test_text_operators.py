@@ -412,6 +412,25 @@ def test_op10_equals_brute_force(spark, texts):
     assert op10.scan(docs_of(spark, [])).count() == 0
 
 
+def test_op10_equals_sql(spark):
+    """Whole templates, cut and changed ones, repeated ids with other texts, repeated rows, long texts with the same phrase throughout."""
+    rng = random.Random(14)
+    vocab = sorted({w for x in op10.TEMPLATES for w in x[2].split()})
+    docs = [(i, f"head {x[2]} tail") for i, x in enumerate(op10.TEMPLATES)]
+    for i in range(100, 160):
+        words = " x ".join(rng.choice(op10.TEMPLATES)[2] for _ in range(3)).split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        docs.append((i, " ".join(words)))
+    docs += [(200, " ".join(rng.choice(vocab) for _ in range(5000))), (201, "mit license " * 9000), (3, "Apache-License"), (3, "Apache-License"), (None, "MIT License"), (None, "all rights reserved"), (202, None), (203, ""), (204, "license " * 50)]
+    got = sorted((tuple(r) for r in op10.scan(docs_of(spark, docs)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert got == sorted((tuple(r) for r in con.execute(op10.OP10_SQL).fetchall()), key=repr)
+    assert all(x[0] in r[6].split(",") for x, r in zip(op10.TEMPLATES, sorted(r for r in got if r[0] is not None and r[0] < len(op10.TEMPLATES) and r[1] > 3), strict=False))
+
+
 def test_hash_of_ids_is_as_the_contract_says(spark, tmp_path):
     docs_of(spark, ["hello world", None]).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op2.op2_byte_bpe(spark, str(tmp_path)).collect()}
