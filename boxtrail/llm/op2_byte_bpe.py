@@ -44,8 +44,9 @@ SELECT word, list(id ORDER BY pos) AS ids
 FROM step JOIN (SELECT word, max(depth) AS depth FROM step GROUP BY word) USING (word, depth)
 GROUP BY word ORDER BY word
 """
-#: One step for a long word contracts every pair of the least rank at once, from the left and without overlap. That equals single
-#: steps as long as no contraction brings up a pair of lower rank; Codec._long checks that and else recurses.
+#: One step for a long word contracts pairs of the least rank at once, from the left and without overlap. That equals single
+#: steps until a merged token forms a pair of lower rank with what stands before it then, or after: the step ends with the first such one. Only
+#: tokens of which the merge table has a pair of lower rank (Codec.early) need that test.
 PAIRS = """
 CREATE OR REPLACE TABLE pairs AS SELECT p.*, m.merged FROM (
   SELECT pos, id, lead(id) OVER w AS next, row_number() OVER w AS n FROM bytes WINDOW w AS (ORDER BY pos)) p
@@ -53,10 +54,19 @@ LEFT JOIN merges m ON m.l = p.id AND m.r = p.next
 """
 SWEEP = """
 CREATE OR REPLACE TABLE bytes AS
-WITH hits AS (SELECT n, n - row_number() OVER (ORDER BY n) AS run FROM pairs WHERE merged = (SELECT min(merged) FROM pairs)),
-taken AS (SELECT n FROM (SELECT n, row_number() OVER (PARTITION BY run ORDER BY n) AS k FROM hits) WHERE k % 2 = 1)
+WITH hits AS (SELECT n, n - row_number() OVER (ORDER BY n) AS run FROM pairs WHERE merged = {best}),
+taken AS (SELECT n FROM (SELECT n, row_number() OVER (PARTITION BY run ORDER BY n) AS k FROM hits) WHERE k % 2 = 1),
+until AS ({until}),
+now AS (SELECT n FROM taken, until WHERE n <= last)
 SELECT pos, CASE WHEN t.n IS NOT NULL THEN merged ELSE id END AS id
-FROM pairs p LEFT JOIN taken t ON t.n = p.n ANTI JOIN taken u ON u.n + 1 = p.n
+FROM pairs p LEFT JOIN now t ON t.n = p.n ANTI JOIN now u ON u.n + 1 = p.n
+"""
+ALL = "SELECT max(n) AS last FROM taken"
+FIRST_LOWER = """
+SELECT coalesce(min(t.n) FILTER (x.merged < {best} OR y.merged < {best}), max(t.n)) AS last
+FROM taken t LEFT JOIN pairs p ON p.n = t.n - 1 LEFT JOIN taken u ON u.n = t.n - 2 LEFT JOIN pairs q ON q.n = t.n + 2
+LEFT JOIN merges x ON x.l = CASE WHEN u.n IS NULL THEN p.id ELSE {best} END AND x.r = {best}
+LEFT JOIN merges y ON y.l = {best} AND y.r = q.id
 """
 DECODE = "SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids i JOIN vocabulary v ON v.id = i.id GROUP BY i.doc"
 
@@ -76,7 +86,7 @@ class Codec:
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         tokens = list(ranks)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.early = {(l, r): m for l, r, m in merges if m < l}
+        self.early = {x for l, r, m in merges for x in (l, r) if m < x}  # tokens of which some pair has a lower rank than they
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True)) if merges else (pa.array([], pa.int32()),) * 3
         self._put("merges", pa.table({"l": left, "r": right, "merged": merged}))
         self._put("vocabulary", pa.table({"id": pa.array([ranks[t] for t in tokens], pa.int32()), "hex": [t.hex() for t in tokens]}))
@@ -99,16 +109,12 @@ class Codec:
 
     def _long(self, word: bytes) -> bytes:
         self._load([word])
-        rank = -1
         while True:
             self.con.execute(PAIRS)
-            best, left = self.con.execute("SELECT min(merged), arg_min(id, merged) FROM pairs").fetchall()[0]
+            best = self.con.execute("SELECT min(merged) FROM pairs").fetchall()[0][0]
             if best is None:
-                return np.array([row[0] for row in self.con.execute("SELECT id FROM pairs ORDER BY n").fetchall()], "<u4").tobytes()
-            if best < rank or self.early.get((best, left), best) < best:
-                return self._words([word])[0]
-            self.con.execute(SWEEP)
-            rank = best
+                return self.con.sql("SELECT id FROM pairs ORDER BY n").to_arrow_table()["id"].to_numpy().astype("<u4").tobytes()
+            self.con.execute(SWEEP.format(best=best, until=FIRST_LOWER.format(best=best) if best in self.early else ALL))
 
     def learn(self, words: set[str]) -> None:
         """Ids of words not seen before, as little-endian bytes."""

@@ -26,7 +26,6 @@ SEGMENT = 64  # bytes read from a fresh state
 HIDDEN = 12  # units of each direction
 TRAIN_DOCS = 400  # labelled rows of each language, about: the bound of the training sample
 DOC_SEGMENTS = 12  # segments of a training row, spread evenly over its whole text
-LANGUAGES = 200  # most frequent labels that are learned
 EPOCHS = 4
 BATCH = 256
 WIDE = 1024  # segments scored at once
@@ -185,12 +184,12 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, reject: bool = False)
     """A network from rows (doc_id, text, lang); None without a labelled row that has a letter. With reject, it also learns UNDECIDED from segments
     in no language.
 
-    About train_docs rows of each label are taken, those of the smallest hashes of their ids, and DOC_SEGMENTS segments of each: what the
-    task holds that trains is bounded by these and by LANGUAGES.
+    Every label is learned. About train_docs rows of each are taken, those of the smallest hashes of their ids, and DOC_SEGMENTS segments of each: what the
+    task holds that trains grows with the number of languages (300 KB each) but not with the rows.
     """
     bounded_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))

@@ -2,9 +2,10 @@
 
 Only suffixes at minimiser positions are kept: the least hash of each window of word k-grams, which the content alone
 selects, so that any two copies of a passage of MIN_WORDS words keep a suffix at the same place. The suffixes of
-all texts are sorted by their words; one whose neighbour starts with the same k words is a seed. Around the seeds every window of
-MIN_WORDS words is extended left and right of the seed, and the windows that occur more than once make up the
-repeated passages.
+all texts are sorted by their words, in blocks of k; one that starts with the same k words as a neighbour is a seed. Seeds are extended left and right to all
+windows of MIN_WORDS words of which they are the minimiser. A suffix array knows for a suffix which other has most words to its right in common,
+but the one that also has those to its left may lie anywhere among the rows with the same start; so the extended
+windows are compared by their hashes, and those that occur more than once make up the repeated passages.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from boxtrail.llm.common import Scratch, WordHashes, bounded_batches, gram_hashe
 MIN_WORDS = 50  # shortest repeated passage
 GRAM = 16  # words that a seed shares with its neighbour
 BLOCKS = 3  # blocks of GRAM words by which suffixes are sorted
+POSITION = np.uint64((1 << 30) - 1)  # low bits of a packed k-gram: its position from the end; a text of 2 GB has no more words
 
 
 def text_key(text: str | None) -> bytes:
@@ -39,32 +41,31 @@ def minimisers(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarra
     width = min_words - k + 1
     if len(grams) < width:
         return np.empty(0, np.int64), grams
-    packed = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams) - 1, -1, -1, dtype=np.uint64) & np.uint64(0xFFFFFF)
+    packed = (grams & ~POSITION) | np.arange(len(grams) - 1, -1, -1, dtype=np.uint64)
     least = packed.copy()  # sliding minimum by doubling
     span = 1
     while span < width:
         step = min(span, width - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    return len(grams) - 1 - (least & np.uint64(0xFFFFFF)).astype(np.int64), grams
+    return len(grams) - 1 - (least & POSITION).astype(np.int64), grams
 
 
 def _suffixes(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, keys, sizes, heads = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys, sizes, heads = [], [], []
+            for text in batch.column(2):
                 text = text.as_py()
                 words = word_hashes(text, hashes)
                 at, grams = minimisers(words, min_words)
                 at = np.unique(at)
                 rows = [grams[np.minimum(at + b * GRAM, len(grams) - 1)] if len(at) else at.astype(np.uint64) for b in range(BLOCKS)]
-                ids.append(doc_id)
                 keys.append(text_key(text))
                 sizes.append(len(words))
                 heads.append(np.stack([at.astype(np.uint64), *rows], axis=1).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())], ["doc_id", "text_key", "n_words", "suffixes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary())], ["doc_id", "text_hash", "text_key", "n_words", "suffixes"])
 
     return run
 
@@ -116,7 +117,7 @@ def _windows(min_words: int):
             for doc_id, key, seeds, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 text = text.as_py()
                 if text_key(text) != key:
-                    continue  # another row of the same id
+                    continue  # another text of the same id and hash
                 words = word_hashes(text, hashes)
                 at, _ = minimisers(words, min_words)
                 start = np.flatnonzero(np.isin(at, np.array(seeds.as_py())))
@@ -144,24 +145,25 @@ def _spans(starts, min_words: int):
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(texts, marks). texts: doc_id, text_key, n_words for each row of docs. marks: text_key, spans and later, one row for
     each text with a repeated passage. spans are its repeated passages, later those parts that occur before,
-    in a text of a smaller doc_id or further up in the same; both [start, end) in words.
+    in a text of a smaller doc_id (one without an id comes first, of texts with the same id the one of the smaller key) or further up in the same; both [start, end) in words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = scratch.save(slim.mapInArrow(_suffixes(min_words), "doc_id long, text_key binary, n_words int, suffixes binary"), "texts")
-    classes = texts.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")).where(F.col("n_words") >= min_words)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = scratch.save(slim.mapInArrow(_suffixes(min_words), "doc_id long, text_hash long, text_key binary, n_words int, suffixes binary"), "texts")
+    classes = texts.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")).where(F.col("n_words") >= min_words)
     classes = scratch.save(classes, "classes")
     heads = [f"b{i}" for i in range(BLOCKS)]
     order = [*heads, "text_key", "pos"]
     rows = scratch.save(classes.select("text_key", "suffixes").mapInArrow(_unpacked, f"{', '.join(f'{h} long' for h in heads)}, text_key binary, pos int"), "rows")
     ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("b0", "text_key", "pos")
     seeds = ranked.mapInArrow(_seeds, "text_key binary, pos int").groupBy("text_key").agg(F.collect_set("pos").alias("seeds"))
-    seeds = scratch.save(seeds.join(classes.select("text_key", "doc_id"), "text_key").select("doc_id", "text_key", "seeds"), "seeds")
+    seeds = scratch.save(seeds.join(classes.select("text_key", "one"), "text_key").select(F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash"), "text_key", "seeds"), "seeds")
     scratch.drop("rows")
 
-    found = slim.join(seeds, "doc_id").select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
+    # a text is fetched by its least id and hash; equal rows of one id give their windows each, but such copies are repeated whole anyway
+    found = slim.join(seeds, slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
     windows = scratch.save(found, "windows")
     first = F.struct("doc_id", "text_key", "start")
     # written first, so that the join below may split a common window's rows
@@ -192,3 +194,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by counting all windows of 50 words.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, s, md5(array_to_string(w[s:s + 49], ' ')) AS words FROM (SELECT r, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+again AS (SELECT r, s FROM win WHERE words IN (SELECT words FROM win GROUP BY words HAVING count(*) > 1)),
+cut AS (SELECT r, s, coalesce(s - lag(s) OVER (PARTITION BY r ORDER BY s) > 50, true)::INTEGER AS opens FROM again),
+runs AS (SELECT r, s, sum(opens) OVER (PARTITION BY r ORDER BY s) AS run FROM cut)
+SELECT doc_id, len(w)::INTEGER AS n_words, (min(s) - 1)::INTEGER AS start_word, (max(s) + 49)::INTEGER AS end_word FROM runs JOIN d USING (r) GROUP BY r, run, doc_id, len(w)
+"""

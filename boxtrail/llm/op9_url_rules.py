@@ -24,16 +24,16 @@ SITE_RULES = (
 #: Fixed values: (pattern over host and path, tokens that it needs, verdict) for all other URLs; "a|b" needs either token. An allowing pattern
 #: outweighs blocking ones.
 PATTERN_RULES = (
-    (r"^(?:[^/]*[.-])?casino(?:[.-]|/|$)", ("casino",), "block"),
-    (r"^(?:[^/]*[.-])?free-bets(?:[.-]|/|$)", ("free", "bets"), "block"),
-    (r"^(?:[^/]*[.-])?poker(?:[.-]|/|$)", ("poker",), "block"),
-    (r"^(?:[^/]*[.-])?(?:cheap-)?pills(?:[.-]|/|$)", ("pills",), "block"),
-    (r"^(?:[^/]*[.-])?xxx(?:[.-]|/|$)", ("xxx",), "block"),
-    (r"^(?:[^/]*[.-])?porn(?:[.-]|/|$)", ("porn",), "block"),
+    (r"^(?:[^/]*[.-])?casino(?:[.-]|/|\z)", ("casino",), "block"),
+    (r"^(?:[^/]*[.-])?free-bets(?:[.-]|/|\z)", ("free", "bets"), "block"),
+    (r"^(?:[^/]*[.-])?poker(?:[.-]|/|\z)", ("poker",), "block"),
+    (r"^(?:[^/]*[.-])?(?:cheap-)?pills(?:[.-]|/|\z)", ("pills",), "block"),
+    (r"^(?:[^/]*[.-])?xxx(?:[.-]|/|\z)", ("xxx",), "block"),
+    (r"^(?:[^/]*[.-])?porn(?:[.-]|/|\z)", ("porn",), "block"),
     (r"^(?:[^/]*\.)?ads?\.", ("ad|ads",), "block"),
     (r"/cgi-bin/", ("cgi", "bin"), "block"),
     (r"/wp-admin/", ("wp", "admin"), "block"),
-    (r"^[^/]*/robots\.txt$", ("robots", "txt"), "allow"),
+    (r"^[^/]*/robots\.txt\z", ("robots", "txt"), "allow"),
 )
 TARGET = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -91,20 +91,24 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-def _values() -> str:
-    quoted = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({i}, {quoted(site)}, {quoted(pattern)}, {quoted(verdict)})" for i, site, pattern, _, verdict in rule_rows())
-
-
-#: The same rows with every rule's expression run on every URL.
-OP9_SQL = rf"""
+#: The same rows with every rule run on every URL, the rules written out once more.
+OP9_SQL = r"""
 WITH u AS (
-  SELECT row_number() OVER () AS r, page_id, translate(coalesce(regexp_extract(url, '{TARGET}', 1), ''), '{UPPER}', '{LOWER}') AS host,
-    coalesce(regexp_extract(url, '{TARGET}', 2), '') AS path FROM pages),
-rules(id, site, pattern, action) AS (VALUES {_values()}),
-hits AS (SELECT r, id, site, action FROM u JOIN rules ON regexp_matches(host || path, pattern)),
-best AS (SELECT r, arg_min(site, (-length(site), id)) AS rule, arg_min(action, (-length(site), id)) AS verdict FROM hits WHERE site IS NOT NULL GROUP BY r),
-other AS (SELECT r, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS blocked FROM hits WHERE site IS NULL GROUP BY r)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
-FROM u LEFT JOIN best USING (r) LEFT JOIN other USING (r)
+  SELECT row_number() OVER () AS r, page_id, instr(url, '://') AS spot, url FROM pages),
+v AS (
+  SELECT r, page_id, CASE WHEN spot > 0 THEN regexp_extract(substr(url, spot + 3), '^[^/?#]*') ELSE '' END AS raw, CASE WHEN spot > 0 THEN regexp_extract(substr(url, spot + 3), '^[^?#]*') ELSE '' END AS target FROM u),
+h AS (SELECT r, page_id, translate(coalesce(raw, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(substr(target, length(raw) + 1), '') AS path FROM v),
+site(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fits AS (
+  SELECT r, s.host || s.path AS rule, verdict, length(s.host || s.path) AS size FROM h JOIN site s
+  ON (h.host = s.host OR suffix(h.host, '.' || s.host)) AND starts_with(h.path, s.path)),
+best AS (SELECT r, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict FROM fits GROUP BY r),
+other AS (
+  SELECT r,
+    regexp_matches(host, '(^|[.-])(casino|free-bets|poker|cheap-pills|pills|xxx|porn)([.-]|$)') OR regexp_matches(host, '(^|\.)ads?\.')
+      OR contains(host || path, '/cgi-bin/') OR contains(host || path, '/wp-admin/') AS blocked,
+    path = '/robots.txt' AS allowed
+  FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN blocked AND NOT allowed THEN 'block' ELSE 'allow' END AS verdict
+FROM h LEFT JOIN best USING (r) LEFT JOIN other USING (r)
 """

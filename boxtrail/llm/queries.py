@@ -10,7 +10,7 @@ from boxtrail.llm.op3_winnowing import OP3_SQL, op3_winnowing
 from boxtrail.llm.op4_minhash_forest import OP4_SQL, op4_minhash_forest
 from boxtrail.llm.op5_maxent_lm import op5_maxent_lm
 from boxtrail.llm.op6_byte_gru import op6_byte_gru
-from boxtrail.llm.op7_sparse_suffixes import op7_sparse_suffixes
+from boxtrail.llm.op7_sparse_suffixes import OP7_SQL, op7_sparse_suffixes
 from boxtrail.llm.op8_likelihood_ratio import op8_likelihood_ratio
 from boxtrail.llm.op9_url_rules import OP9_SQL, op9_url_rules
 from boxtrail.llm.op10_license_index import OP10_SQL, op10_license_index
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable] = {
         op10_license_index,
     )
 }
-ORACLES: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op3_winnowing": OP3_SQL, "op4_minhash_forest": OP4_SQL, "op9_url_rules": OP9_SQL, "op10_license_index": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_merkle_audit": OP1_SQL, "op3_winnowing": OP3_SQL, "op4_minhash_forest": OP4_SQL, "op7_sparse_suffixes": OP7_SQL, "op9_url_rules": OP9_SQL, "op10_license_index": OP10_SQL}

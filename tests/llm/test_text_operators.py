@@ -93,6 +93,21 @@ def test_op2_equals_tiktoken_and_round_trips(spark, texts):
     assert op2.encode_and_decode(docs_of(spark, []).limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_op2_long_words_in_single_steps(spark):
+    """Where a pair has a lower rank than a token in it, sweeps and single steps are mixed; all tokens of this made-up table are such, or none."""
+    rng = random.Random(40)
+    tokens = [bytes([b]) for b in range(256)]
+    made = list({"".join(rng.choice("ab") for _ in range(rng.randrange(2, 6))).encode() for _ in range(60)})
+    rng.shuffle(made)  # ranks in no order of length
+    ranks = {t: i for i, t in enumerate([*tokens, *made])}
+    codec = op2.Codec(ranks, r"[^ ]+")
+    known = tiktoken.Encoding("made", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})
+    assert codec.early
+    for n in (70, 200, 700):
+        word = "".join(rng.choice("ab") for _ in range(n))
+        assert np.frombuffer(codec.encode([word])[0], "<u4").tolist() == known.encode_ordinary(word)
+
+
 def brute_op3(docs, items):
     words = lambda t: [w.decode() for w in WORD.findall((t or "").encode().lower())]
     out = []
@@ -336,6 +351,14 @@ def test_op7_equals_brute_force(spark, texts, n):
     assert op7.repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_op7_null_and_repeated_ids(spark):
+    rng = random.Random(18)
+    passage = prose(rng, 80, 3000)
+    docs = [(None, passage + " " + prose(rng, 30, 3000)), (None, prose(rng, 10, 3000) + " " + passage), (4, prose(rng, 70, 3000)), (4, prose(rng, 5, 3000) + " " + passage), (None, None)]
+    got = op7.repeated_passages(docs_of(spark, docs), 50).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == [(4, 85, 5, 85), (None, 110, 0, 80), (None, 90, 10, 90)]
+
+
 def brute_op8(text):
     text = text or ""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
