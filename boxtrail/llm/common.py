@@ -29,10 +29,14 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names; one of our own only where none is set."""
+    """The shared folder the session names; one of our own only where none is set and all tasks run in this process. On a cluster executors
+    wouldn't see each other's local folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boxtrail-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="boxtrail-"))
     return sc.getCheckpointDir()
 
 

@@ -31,6 +31,7 @@ BATCH = 256
 WIDE = 1024  # segments scored at once
 LETTER = regex.compile(r"\p{L}")
 UNDECIDED = "und"
+IS_LETTER = np.array([chr(b).isalpha() or b > 127 for b in range(256)])  # bytes; those above 127 are parts of letters mostly
 
 
 def segments(text: bytes) -> np.ndarray:
@@ -88,7 +89,7 @@ class Direction:
 class Network:
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.labels = labels
+        self.labels, self.by_letters = labels, False
         self.ways = [Direction(rng, hidden), Direction(rng, hidden)]
         self.v = rng.normal(0, 0.1, (len(labels), 2 * hidden)).astype(np.float32)
         self.c = np.zeros((len(labels), 1), np.float32)
@@ -136,22 +137,26 @@ class Network:
         return [*self.ways[0].back(steps, kept[0], below[:, :half]), *self.ways[1].back(steps[::-1], kept[1], below[::-1, half:]), dv, error.sum(axis=(0, 2))[:, None]]
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """(text, label): mean probabilities over all positions; zeros for an empty text."""
+        """(text, label): mean probabilities over all positions, or all letters (by_letters); zeros for a text without one."""
         parts = [segments(t) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
         rows = np.concatenate(parts) if len(owner) else np.empty((0, SEGMENT), np.uint8)
         left = np.array([len(t) for t in texts])
-        total = np.zeros((len(texts), len(self.labels)))
+        total, counted = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
         used = np.minimum(SEGMENT, left[owner] - SEGMENT * (np.arange(len(owner)) - starts[owner])) if len(owner) else left
         for at in range(0, len(rows), WIDE):
             part = slice(at, at + WIDE)
             p = self.positions(rows[part])
-            p *= (np.arange(SEGMENT)[:, None] < used[part][None, :])[:, None, :]
+            mask = np.arange(SEGMENT)[:, None] < used[part][None, :]
+            if self.by_letters:
+                mask &= IS_LETTER[rows[part].T]
+            p *= mask[:, None, :]
             sums = p.sum(axis=0)
+            counted += np.bincount(owner[part], mask.sum(axis=0), len(texts))
             for j in range(len(self.labels)):
                 total[:, j] += np.bincount(owner[part], sums[j], len(texts))
-        return total / np.maximum(left, 1)[:, None]
+        return total / np.maximum(counted, 1)[:, None]
 
 
 def _sample_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,19 +175,26 @@ def _sample_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def no_language(rows: np.ndarray, n: int) -> np.ndarray:
-    """n segments in no language: a third each of text bytes in another order, of random printable bytes, and of random letters of other scripts."""
+    """n segments in no language, in equal shares: the bytes of texts in another order, random printable bytes, words of random letters, hexadecimal digits,
+    Base64, and digits with signs. Other scripts are not among them: a language that was not learned is not junk."""
     rng = np.random.default_rng(13)
-    third = -(-n // 3)
-    mixed = rng.permuted(rows[rng.integers(0, len(rows), third)], axis=1)
-    printable = rng.integers(33, 127, (third, SEGMENT), dtype=np.uint8)
-    starts = rng.choice([0x0391, 0x0410, 0x05D0, 0x0627, 0x0905, 0x3041, 0x4E00, 0xAC00], third)
-    other = ["".join(map(chr, at + rng.integers(0, 25, SEGMENT))).encode()[:SEGMENT] for at in starts]
-    return np.concatenate([mixed, printable, np.frombuffer(b"".join(other), np.uint8).reshape(-1, SEGMENT)])[:n]
+    share = -(-n // 6)
+    drawn = lambda alphabet: np.frombuffer(alphabet, np.uint8)[rng.integers(0, len(alphabet), (share, SEGMENT))]
+    letters = b"abcdefghijklmnopqrstuvwxyz"
+    kinds = [
+        rng.permuted(rows[rng.integers(0, len(rows), share)], axis=1),
+        rng.integers(33, 127, (share, SEGMENT), dtype=np.uint8),
+        drawn(letters + b" " * 4),
+        drawn(b"0123456789abcdef"),
+        drawn(letters + letters.upper() + b"0123456789+/"),
+        drawn(b"0123456789 .,;:-=+*#/|%$&<>_()[]{}"),
+    ]
+    return np.concatenate(kinds)[:n]
 
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, reject: bool = False) -> Network | None:
     """A network from rows (doc_id, text, lang); None without a labelled row that has a letter. With reject, it also learns UNDECIDED from segments
-    in no language.
+    in no language, and decides on a text by its letters alone.
 
     Every label is learned. About train_docs rows of each are taken, those of the smallest hashes of their ids, and DOC_SEGMENTS segments of each: what the
     task holds that trains grows with the number of languages (300 KB each) but not with the rows.
@@ -219,6 +231,7 @@ def _fit_sample(reject: bool):
             target = np.concatenate([target, np.full(most, len(labels))])
             labels.append(UNDECIDED)
         network = Network(labels)
+        network.by_letters = reject  # numbers and addresses in a text don't tell against its language
         network.train(rows, target)
         yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(network)], pa.binary())], ["network"])
 

@@ -145,14 +145,14 @@ def _spans(starts, min_words: int):
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(texts, marks). texts: doc_id, text_key, n_words for each row of docs. marks: text_key, spans and later, one row for
     each text with a repeated passage. spans are its repeated passages, later those parts that occur before,
-    in a text of a smaller doc_id (one without an id comes first, of texts with the same id the one of the smaller key) or further up in the same; both [start, end) in words.
+    in a text of a smaller doc_id (texts without an id come last, of those with the same the one of the smaller key first) or further up in the same; both [start, end) in words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = scratch.save(slim.mapInArrow(_suffixes(min_words), "doc_id long, text_hash long, text_key binary, n_words int, suffixes binary"), "texts")
-    classes = texts.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")).where(F.col("n_words") >= min_words)
+    classes = texts.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")).where(F.col("n_words") >= min_words)
     classes = scratch.save(classes, "classes")
     heads = [f"b{i}" for i in range(BLOCKS)]
     order = [*heads, "text_key", "pos"]
@@ -165,7 +165,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
     # a text is fetched by its least id and hash; equal rows of one id give their windows each, but such copies are repeated whole anyway
     found = slim.join(seeds, slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
     windows = scratch.save(found, "windows")
-    first = F.struct("doc_id", "text_key", "start")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
     # written first, so that the join below may split a common window's rows
     repeated = scratch.save(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "repeated")
     marked = windows.join(repeated, "window").groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(first != F.col("first"), F.col("start")))).alias("again"))

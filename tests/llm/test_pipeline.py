@@ -73,7 +73,9 @@ def test_stages_decide_by_row(spark, folder, tmp_path):
     assert order(kept) == sorted([x for i, x in enumerate(rows) if i not in (3, 4, 6)], key=repr)
     docs = spark.createDataFrame(kept, COLUMNS)
     cut = pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()
-    assert len(cut) == len(kept) and {r.text for r in cut if r.doc_id == 14} == {rows[11][1], rows[12][1].removesuffix(passage)}
+    # of a + e, which has no id, a goes as doc 1 has it; e stays in one of the two texts without an id, and the other goes if nothing is left of it
+    assert sum((r.text or "").count(e) for r in cut) == sum((r.text or "").count(a) for r in cut) == 1 and len(kept) - len(cut) in (0, 1)
+    assert {r.text for r in cut if r.doc_id == 14} == {rows[11][1], rows[12][1].removesuffix(passage)}
     assert all(r.n_chars == len(r.text or "") for r in cut) and {r.text for r in cut if r.doc_id == 7} == {b, c}
     clean = pipeline.drop_contaminated(spark, spark.createDataFrame(cut, COLUMNS), str(tmp_path)).collect()
     assert order(clean) == order(r for r in cut if item not in (r.text or ""))
@@ -90,12 +92,12 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 def test_language_drops_texts_in_no_language(spark, folder):
-    """Of another script, which takes little training; with little of it, random letters may still pass for a language."""
     rng = random.Random(3)
-    other = " ".join("".join(chr(0x0410 + rng.randrange(25)) for _ in range(7)) for _ in range(40))
-    extra = [(301, other, None, None, 300), (302, "what thao", "en", None, 9)]
+    drawn = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    junk = [drawn("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 300), "a" + drawn("0123456789abcdef", 300), "x " + drawn("#*$%&|<>0123456789 ", 300)]
+    extra = [(301 + i, t, None, None, len(t)) for i, t in enumerate(junk)] + [(310, "what thao", "en", None, 9)]
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 120").union(spark.createDataFrame(extra, COLUMNS))
-    assert {r.doc_id for r in pipeline.language(spark, docs, folder[0]).collect()} == set(range(120)) | {302}
+    assert {r.doc_id for r in pipeline.language(spark, docs, folder[0]).collect()} == set(range(120)) | {310}
 
 
 def test_language_without_labels_keeps_all_with_letters(spark, folder):
