@@ -19,7 +19,7 @@ WINNOW = WINDOW - GRAM + 1
 HEAD = 3  # words by which shorter items are looked up, at most
 #: Low bits of a packed fingerprint: the position counted from the end, so that the rightmost of equals is least. An array of longs holds no more.
 POSITION_BITS = 28
-ITEM_BYTES = 64 << 20  # size of the item index up to which it is broadcast
+SMALL_BYTES = 64 << 20  # size of the item index, and of the hits, up to which they are broadcast
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -90,56 +90,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     others, but it is not among the items and n_items doesn't count it. Each row counts alone, repeated ids too. An empty
     table of documents gives no rows, an empty benchmark no hits. Texts of any length that an array of their words can hold are handled whole.
 
-    The item index has a bounded row for each fingerprint. It is broadcast while it takes at most ITEM_BYTES, so that documents are read once and only hits and one
-    row per document are shuffled; a larger one is joined by a shuffle on the fingerprint, and words are fetched for hits only.
+    The item index has a bounded row for each fingerprint; it is broadcast while it takes at most SMALL_BYTES, else joined by a shuffle. Documents are read
+    twice: for their fingerprints, of which only hits go on, and to compare the words around hits. Hits are
+    broadcast to the second reading while they take at most SMALL_BYTES, so that no text is shuffled.
     """
     scratch = Scratch(docs.sparkSession)
-    index = item_index(benchmark, scratch).withColumn("hit", F.lit(True))
+    index = item_index(benchmark, scratch)
     kinds = sorted(r[0] for r in index.select("kind").distinct().collect())  # at most HEAD + 1 values
-    size = index.agg(F.sum(100 + F.length(F.array_join("near", " ")) + 20 * F.size("near"))).first()[0] or 0
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of("text").alias("words"))
-    rows = _with_codes(rows)
-    rows = _with_prints(rows) if 0 in kinds else rows.withColumn("prints", F.array().cast("array<bigint>"))
-    if size > ITEM_BYTES:
-        rows = scratch.save(rows, "rows")
-    long = F.transform("prints", lambda p: F.struct(F.lit(0).alias("kind"), _print(p)[0].alias("print"), _print(p)[1].cast("int").alias("pos")))
-    heads = [_head_prints(k) for k in kinds if k]
-    # a row of kind -1 keeps every document, with or without fingerprints
-    own = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("print"), F.lit(0).alias("pos")))
-    places = rows.select("row", "doc_id", "words", F.concat(own, long, *heads).alias("places"))
-    # outer, as no array is empty: for others Spark would evaluate places once more, in a filter before
-    prints = places.select("row", "doc_id", "words", F.explode_outer("places").alias("f")).select("row", "doc_id", "words", "f.kind", "f.print", "f.pos")
-    if size <= ITEM_BYTES:
-        joined = prints.join(F.broadcast(index), ["kind", "print"], "left")
-    else:
-        hits = prints.where("kind >= 0").drop("words").join(index, ["kind", "print"])
-        joined = hits.join(rows.select("row", "words"), "row").unionByName(prints.where("kind < 0"), allowMissingColumns=True)
-    joined = joined.where("kind < 0 or hit")
-
-    # Starts of the windows that agree, as offsets from the hit's position; none for the row of kind -1.
-    m = F.least(F.lit(WINDOW), F.size("near"))
-    shift = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.lit(WINNOW - 1))).otherwise(F.array(F.lit(0)))
-    doc_at, item_at = (lambda o: F.col("pos") - o), (lambda o: F.col("at") - o)
-    agrees = F.filter(
-        shift,
-        lambda o: (doc_at(o) >= 0)
-        & (item_at(o) >= 0)
-        & (doc_at(o) + m <= F.size("words"))
-        & (item_at(o) + m <= F.size("near"))
-        & (F.slice("words", F.greatest(doc_at(o), F.lit(0)) + 1, m) == F.slice("near", F.greatest(item_at(o), F.lit(0)) + 1, m)),
-    )
-    starts = F.when(F.col("hit"), F.transform(agrees, lambda o: F.struct((F.col("pos") - o).alias("start"), (F.col("pos") - o + m).alias("end"))))
-    found = joined.select("row", "doc_id", F.when(F.col("kind") < 0, F.size("words").cast("long")).alias("n_words"), "item_id", starts.alias("spans")).where("n_words is not null or size(spans) > 0")
-    # first each item of a document, then the document: neither gathers more than the places of one text
-    parts = found.groupBy("row", "doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    whole = parts.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    size = index.agg(F.sum(100 + _bytes("near"))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"))
+    hits = scratch.save(_hits(rows, F.broadcast(index) if size <= SMALL_BYTES else index, kinds), "hits").toDF("its_id", "its_hash", "hits")
+    size = hits.agg(F.sum(F.aggregate("hits", F.lit(100), lambda n, h: n + 100 + _bytes(h["near"])))).first()[0] or 0
+    hits = F.broadcast(hits) if size <= SMALL_BYTES else hits
+    rows = rows.join(hits, rows.doc_id.eqNullSafe(F.col("its_id")) & (F.col("text_hash") == F.col("its_hash")), "left")
+
+    def places(h):
+        """The windows over a hit that agree word by word, as (start, end, item_id)."""
+        m = F.least(F.lit(WINDOW), F.size(h["near"]))
+        shift = F.when(h["kind"] == 0, F.sequence(F.lit(0), F.lit(WINNOW - 1))).otherwise(F.array(F.lit(0)))
+        fits = lambda at, words, o: (at - o >= 0) & (at - o + m <= F.size(words))
+        part = lambda at, words, o: F.slice(words, F.greatest(at - o, F.lit(0)) + 1, m)
+        agrees = lambda o: fits(h["pos"], "words", o) & fits(h["at"], h["near"], o) & (part(h["pos"], "words", o) == part(h["at"], h["near"], o))
+        return F.transform(F.filter(shift, agrees), lambda o: F.struct((h["pos"] - o).alias("start"), (h["pos"] - o + m).alias("end"), h["item_id"].alias("item_id")))
+
+    none = F.array().cast("array<struct<start:int,end:int,item_id:string>>")
+    rows = rows.withColumn("found", F.coalesce(F.flatten(F.transform("hits", places)), none)).drop("hits")
+    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"], x["end"]))))
     covered = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["upto"], s["start"]))).alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto")),
     )["n"]
-    out = whole.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("found", lambda x: x["item_id"]))))
+    out = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), covered.alias("n_hit"), items.alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def _bytes(words: Column | str) -> Column:
+    return F.length(F.array_join(words, " ")) + 20 * F.size(words)
+
+
+def _hits(rows: DataFrame, index: DataFrame, kinds: list[int]) -> DataFrame:
+    """(doc_id, text_hash, hits): the fingerprints of each text that are in the index, with what the index has of them; rows without any are left out."""
+    rows = _with_codes(rows)
+    rows = _with_prints(rows) if 0 in kinds else rows.withColumn("prints", F.array().cast("array<bigint>"))
+    long = F.transform("prints", lambda p: F.struct(F.lit(0).alias("kind"), _print(p)[0].alias("print"), _print(p)[1].cast("int").alias("pos")))
+    every = rows.select("doc_id", "text_hash", F.concat(long, *[_head_prints(k) for k in kinds if k]).alias("every"))
+    # outer, as else Spark would evaluate every once more, in a filter for empty arrays before
+    prints = every.select("doc_id", "text_hash", F.explode_outer("every").alias("f")).select("doc_id", "text_hash", "f.kind", "f.print", "f.pos")
+    found = prints.join(index, ["kind", "print"]).select("doc_id", "text_hash", F.struct("kind", "pos", "at", "item_id", "near").alias("hit"))
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set("hit").alias("hits"))
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,9 +125,9 @@ def brute_op3(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [op3.ITEM_BYTES, 0])
+@pytest.mark.parametrize("limit", [op3.SMALL_BYTES, 0])
 def test_op3_equals_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(op3, "ITEM_BYTES", limit)
+    monkeypatch.setattr(op3, "SMALL_BYTES", limit)
     rng = random.Random(3)
     long, other = prose(rng, 40), prose(rng, 20)
     items = [(1, long), (2, other), (10, "w1 w2"), (3, "w5"), (4, None), (5, ""), (2, other), (6, other), (7, prose(rng, 5)), (8, prose(rng, 12)), (None, prose(rng, 30)), (9, prose(rng, 13))]
