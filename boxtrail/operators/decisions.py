@@ -9,18 +9,18 @@ from pyspark.sql.window import Window as W
 from boxtrail.functions import geometry as g
 from boxtrail.functions.scalars import ratio_or_null, ratio_or_zero
 
-#: Hue, saturation and value bounds of colours, 8-bit scales with hue to 180. First match wins.
+#: Hue, saturation and value bounds of colours, 8-bit scales with hue to 180; nothing below a value of 25 has a colour. The last match wins.
 COLOURS = (
-    ("black", "v >= 25 and s < 48 and v < 68"),
-    ("gray", "v >= 25 and s < 48 and v < 132"),
-    ("silver", "v >= 25 and s < 48 and v < 205"),
-    ("white", "v >= 25 and s < 48"),
-    ("red", "v >= 25 and (h < 10 or h >= 170)"),
-    ("brown", "v >= 25 and h >= 10 and h < 25 and v < 145"),
-    ("yellow", "v >= 25 and h >= 22 and h < 38"),
-    ("orange", "v >= 25 and h >= 10 and h < 22"),
-    ("green", "v >= 25 and h >= 38 and h < 85"),
-    ("blue", "v >= 25 and h >= 85 and h < 140"),
+    ("black", "s < 48 and v < 68"),
+    ("gray", "s < 48 and v >= 68 and v < 132"),
+    ("silver", "s < 48 and v >= 132 and v < 205"),
+    ("white", "s < 48 and v >= 205"),
+    ("red", "s >= 48 and (h < 10 or h >= 170)"),
+    ("orange", "s >= 48 and h >= 10 and h < 22 and v >= 145"),
+    ("brown", "s >= 48 and h >= 10 and h < 25 and v < 145"),
+    ("yellow", "s >= 48 and h >= 22 and h < 38"),
+    ("green", "s >= 48 and h >= 38 and h < 85"),
+    ("blue", "s >= 48 and h >= 85 and h < 140"),
 )
 #: Failure categories in order, with severity and condition.
 FAILURES = (
@@ -34,10 +34,8 @@ FAILURES = (
 
 def colour() -> Column:
     """Colour name of columns h, s, v; null where too dark or between the bounds."""
-    out = None
-    for name, test in COLOURS:
-        out = F.when(F.expr(test), name) if out is None else out.when(F.expr(test), name)
-    return out
+    found = [F.when(F.expr(f"v >= 25 and {test}"), name) for name, test in COLOURS]
+    return F.coalesce(*reversed(found))
 
 
 def dominant_colour(pixels: DataFrame, by: list[str], least: int = 80, share: float = 0.40) -> DataFrame:

@@ -11,6 +11,8 @@ from boxtrail.functions.scalars import f1, ratio_or_null, ratio_or_zero
 from boxtrail.operators.matching import hungarian
 from boxtrail.operators.tracks import runs
 
+BUCKET = 64  # frames by which chances and rows meet
+
 
 def label_prf(rows: DataFrame, gt: str, pred: str) -> DataFrame:
     """tp, fp, fn, precision, recall and F1 (0 on empty denominators, 6 digits) of every label on either side. One shuffle: each row is exploded into its labels."""
@@ -84,7 +86,9 @@ def target_switches(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 def reacquisition(chances: DataFrame, correct: DataFrame) -> DataFrame:
     """Success and delay of each chance (event, sequence, reappear, last) by the correct frames (sequence, frame) in its window."""
-    hit = chances.join(correct, "sequence").where(F.col("frame").between(F.col("reappear"), F.col("last"))).groupBy("event").agg(F.min("frame").alias("start"))
+    spread = chances.where(F.col("reappear") <= F.col("last")).select("event", "sequence", "reappear", "last", F.explode(F.sequence(F.floor(F.col("reappear") / BUCKET), F.floor(F.col("last") / BUCKET))).alias("bucket"))
+    near = spread.join(correct.select("sequence", "frame", F.floor(F.col("frame") / BUCKET).alias("bucket")), ["sequence", "bucket"])
+    hit = near.where(F.col("frame").between(F.col("reappear"), F.col("last"))).groupBy("event").agg(F.min("frame").alias("start"))
     return chances.join(hit, "event", "left").select("event", F.col("start").isNotNull().alias("success"), F.greatest(F.lit(0), F.col("start") - F.col("reappear")).alias("delay"))
 
 

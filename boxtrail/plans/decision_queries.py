@@ -18,7 +18,10 @@ def pixels(spark, d):
     return b.table(spark, d, "events").select("user_id", ((n * 7) % 180).alias("h"), ((n * 13) % 256).alias("s"), ((n * 29) % 256).alias("v"))
 
 
-NAMED = PIXELS + ", nm AS (SELECT *, CASE " + " ".join(f"WHEN {test} THEN '{name}'" for name, test in decisions.COLOURS) + " END AS colour FROM px)"
+NAMED = PIXELS + """, nm AS (SELECT *, CASE WHEN v < 25 THEN NULL
+  WHEN s < 48 THEN CASE WHEN v < 68 THEN 'black' WHEN v < 132 THEN 'gray' WHEN v < 205 THEN 'silver' ELSE 'white' END
+  WHEN h >= 170 OR h < 10 THEN 'red' WHEN h >= 140 THEN NULL WHEN h >= 85 THEN 'blue' WHEN h >= 38 THEN 'green' WHEN h >= 22 THEN 'yellow'
+  WHEN v < 145 THEN 'brown' ELSE 'orange' END AS colour FROM px)"""
 
 
 @query("dominant_colour", sql(NAMED, "n AS (SELECT user_id, colour, count(*) AS n FROM nm WHERE colour IS NOT NULL GROUP BY ALL)", body="SELECT user_id, CASE WHEN sum(n) >= 20 AND max(n) / sum(n) >= 0.2 THEN arg_min(colour, (-n, colour)) END AS colour, round(max(n) / sum(n), 6) AS confidence, sum(n)::BIGINT AS pixels FROM n GROUP BY ALL"))

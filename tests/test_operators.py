@@ -2,10 +2,11 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import salvage
-from boxtrail.operators import appearance, filters, fusion, matching, metrics, segments, signals, switches, tracker, tracks, validate
+from boxtrail.operators import appearance, decisions, filters, fusion, matching, metrics, reports, segments, signals, switches, tracker, tracks, validate
 
 BOX = "sequence string, frame long, track_id long, x double, y double, w double, h double, conf double, class string"
 
@@ -212,3 +213,24 @@ def test_target_switches_need_two_wrong_in_a_row(spark):
     flags = [(1, True, True), (2, True, False), (3, False, False), (4, True, False), (5, True, True), (6, True, False), (7, True, True)]
     f = spark.createDataFrame([("q", *x) for x in flags], "q string, frame long, predicted boolean, correct boolean")
     assert metrics.target_switches(f, ["q"]).first().switches == 1
+
+
+def test_parameter_grid_has_the_baseline_first_and_once():
+    runs = reports.parameter_grid({"a": 1, "b": 2}, {"b": [2, 3], "a": [1, 4]}, 10)
+    assert runs == [{"a": 1, "b": 2}, {"a": 1, "b": 3}, {"a": 4, "b": 2}, {"a": 4, "b": 3}] and reports.parameter_grid({"a": 1}, {}, 3) == [{"a": 1}]
+    assert len(reports.parameter_grid({"a": 1, "b": 2}, {"b": [2, 3], "a": [1, 4]}, 2)) == 2
+
+
+def test_metric_of_wants_one_row(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 4.0)], "k int, v double")
+    want = lambda k: spark.createDataFrame([(k,)], "k int")
+    assert reports.metric_of(rows, "k", want(1), "v").first().v == 2.0
+    for k in (2, 3):
+        with pytest.raises(Exception, match="not one row"):
+            reports.metric_of(rows, "k", want(k), "v").collect()
+
+
+def test_colours_at_their_bounds(spark):
+    cases = [(23, 100, 100, "yellow"), (21, 100, 100, "brown"), (21, 100, 145, "orange"), (24, 100, 200, "yellow"), (9, 48, 25, "red"), (170, 48, 25, "red"), (150, 200, 200, None), (0, 47, 24, None), (0, 47, 67, "black"), (0, 47, 68, "gray"), (0, 47, 132, "silver"), (0, 47, 205, "white"), (84, 48, 99, "green"), (139, 48, 99, "blue")]
+    rows = spark.createDataFrame([c[:3] for c in cases], "h int, s int, v int").withColumn("c", decisions.colour())
+    assert {(r.h, r.s, r.v, r.c) for r in rows.collect()} == set(cases)
