@@ -21,7 +21,7 @@ def rounded(df, *columns, digits=6):
 
 
 def sql(*views: str, body: str) -> str:
-    return "WITH " + ",\n".join(views) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(views) + "\n" + body
 
 
 GT_PAIRS = """pairs AS (
@@ -29,16 +29,26 @@ GT_PAIRS = """pairs AS (
     greatest(0, least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x)) * greatest(0, least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y)) AS inter
   FROM obs g JOIN pred p USING (sequence, frame)),
 iou AS (SELECT *, inter / (gw * gh + pw * ph - inter) AS iou FROM pairs)"""
-MATCHED = """matched AS (
-  SELECT sequence, frame, gt_track_id, arg_max(pred_track_id, (round(iou, 12), -pred_track_id)) AS pred_track_id, max(iou) AS iou FROM iou WHERE iou >= 0.5 GROUP BY ALL),
-owned AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY sequence, frame, pred_track_id ORDER BY round(iou, 12) DESC, gt_track_id) = 1)"""
+
+
+def greedy_sql(order: str) -> str:
+    """One-to-one pairs of each frame, taken in an order as long as neither side is taken: a walk along the pairs with lists of what is taken."""
+    return f"""cand AS (SELECT sequence, frame, gt_track_id, pred_track_id, iou, row_number() OVER (PARTITION BY sequence, frame ORDER BY {order}) AS i FROM iou WHERE iou >= 0.5),
+walk(sequence, frame, i, gts, preds, ious) AS (
+  SELECT sequence, frame, 1::BIGINT, [gt_track_id], [pred_track_id], [iou] FROM cand WHERE i = 1
+  UNION ALL
+  SELECT sequence, frame, c.i, CASE WHEN free THEN list_append(gts, gt_track_id) ELSE gts END, CASE WHEN free THEN list_append(preds, pred_track_id) ELSE preds END, CASE WHEN free THEN list_append(ious, iou) ELSE ious END
+  FROM (SELECT w.sequence, w.frame, w.gts, w.preds, w.ious, k.i, k.gt_track_id, k.pred_track_id, k.iou, NOT list_contains(gts, k.gt_track_id) AND NOT list_contains(preds, k.pred_track_id) AS free
+    FROM walk w JOIN cand k ON k.sequence = w.sequence AND k.frame = w.frame AND k.i = w.i + 1) c),
+owned AS (SELECT sequence, frame, unnest(gts) AS gt_track_id, unnest(preds) AS pred_track_id, unnest(ious) AS iou FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY sequence, frame ORDER BY i DESC) = 1))"""
+
+
+MATCHED = greedy_sql("iou DESC, gt_track_id, pred_track_id")
 
 
 def owned_matches(spark, d):
-    """One gt box for each prediction of a frame: the best of those whose best prediction it is."""
-    best = matching.best_match(matching.iou_pairs(b.obs(spark, d), b.pred(spark, d), 0.5))
-    top = F.max_by(F.struct("gt_track_id", "iou"), F.struct(F.round("iou", 12), -F.col("gt_track_id")))
-    return best.groupBy("sequence", "frame", "pred_track_id").agg(top.alias("b")).select("sequence", "frame", "b.gt_track_id", "pred_track_id", "b.iou")
+    """Boxes of a frame matched one to one by falling overlap."""
+    return matching.greedy_match(b.obs(spark, d), b.pred(spark, d), 0.5)
 
 
 @query("track_summary", sql(b.OBS, body="""
@@ -219,12 +229,12 @@ def label_transfer(spark, d):
     return rounded(matching.label_transfer(b.obs(spark, d), b.pred(spark, d)), "score")
 
 
-@query("greedy_match")
+@query("greedy_match", sql(b.OBS, b.PRED, GT_PAIRS, MATCHED, body="SELECT sequence, frame, gt_track_id, pred_track_id, round(iou, 6) AS iou FROM owned"))
 def greedy_match(spark, d):
     return rounded(matching.greedy_match(b.obs(spark, d), b.pred(spark, d)), "iou")
 
 
-@query("greedy_match_language")
+@query("greedy_match_language", sql(b.OBS, b.PRED, GT_PAIRS, greedy_sql("iou DESC, gt_track_id DESC, pred_track_id DESC"), body="SELECT sequence, frame, gt_track_id, pred_track_id, round(iou, 6) AS iou FROM owned"))
 def greedy_match_language(spark, d):
     return rounded(matching.greedy_match(b.obs(spark, d), b.pred(spark, d), last_first=True), "iou")
 
