@@ -60,12 +60,15 @@ def closed_taxonomy(label: Column, confidence: Column, allowed: list[str], paren
 
 
 def split_by_group(rows: DataFrame, name: str, group: Column, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
-    """(name, split) so that a group is never divided: groups are taken in the order of a seeded hash until the rows of a split are reached. The order is
-    Spark's hash, not a random generator's; there is one row for each group in the window."""
+    """(name, split) so that a group is never divided: groups are taken in the order of a seeded MD5 until the rows of a split are reached. The order is
+    the hash's, not a random generator's. What comes before a group is summed by the first byte of the hash, then within it, so that no task sees all groups."""
     g = rows.select(F.col(name), group.alias("g")).distinct()
-    sizes = g.groupBy("g").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), "g"))
-    w = W.partitionBy().orderBy("h", "g")
-    sizes = sizes.withColumns({"before": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"), "whole": F.sum("n").over(W.partitionBy())})
-    share = F.col("before") / F.col("whole")
+    sizes = g.groupBy("g").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "g"))).withColumn("part", F.substring("h", 1, 2))
+    within = W.partitionBy("part").orderBy("h", "g").rowsBetween(W.unboundedPreceding, 0)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("m"))  # 256 rows at most
+    whole = W.partitionBy()
+    parts = parts.withColumns({"earlier": F.sum("m").over(whole.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("m"), "whole": F.sum("m").over(whole)})
+    sizes = sizes.withColumn("before", F.sum("n").over(within) - F.col("n")).join(F.broadcast(parts), "part")
+    share = (F.col("earlier") + F.col("before")) / F.col("whole")
     split = F.when(share < ratios[0], "train").when(share < ratios[0] + ratios[1], "val").otherwise("test")
     return g.join(sizes.select("g", split.alias("split")), "g").select(name, "split")

@@ -283,7 +283,8 @@ def parse_boxes_query(spark, d):
     return b.table(spark, d, "events").select("event_id", F.size(p).alias("boxes"), (F.size(p) - F.size(F.array_compact(p))).alias("bad"), F.get(F.get(p, F.lit(0)), F.lit(0)).alias("x1"))
 
 
-@query("split_by_group")
+@query("split_by_group", """WITH c AS (SELECT 'c' || (c_custkey % 40) AS g, 'c' || (c_custkey % 40) || '_' || c_custkey AS name FROM customer), n AS (SELECT g, count(*) AS n FROM c GROUP BY ALL),
+b AS (SELECT g, (sum(n) OVER (ORDER BY md5('42:' || g), g) - n) / sum(n) OVER () AS share FROM n) SELECT name, CASE WHEN share < 0.8 THEN 'train' WHEN share < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM c JOIN b USING (g)""")
 def split_by_group(spark, d):
     c = b.table(spark, d, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string"), F.lit("_"), F.col("c_custkey").cast("string")).alias("name"))
     return vocabulary.split_by_group(c, "name", F.regexp_extract("name", "^[^_]+", 0))
@@ -333,18 +334,35 @@ def top_tracks(spark, d):
     return filters.top_tracks(b.obs(spark, d), 20)
 
 
-@query("spaced_top_frames")
+@query("spaced_top_frames", sql(b.OBS, """k AS (SELECT sequence, track_id, frame, conf, row_number() OVER (PARTITION BY sequence, track_id ORDER BY conf DESC, frame) AS i FROM obs),
+walk(sequence, track_id, i, taken) AS (
+  SELECT sequence, track_id, i, [frame] FROM k WHERE i = 1
+  UNION ALL
+  SELECT w.sequence, w.track_id, k.i, CASE WHEN len(taken) < 5 AND len(list_filter(taken, lambda t: abs(t - k.frame) < 20)) = 0 THEN list_append(taken, k.frame) ELSE taken END
+  FROM walk w JOIN k ON k.sequence = w.sequence AND k.track_id = w.track_id AND k.i = w.i + 1),
+e AS (SELECT sequence, track_id, taken FROM walk QUALIFY row_number() OVER (PARTITION BY sequence, track_id ORDER BY i DESC) = 1),
+p AS (SELECT k.*, list_position(taken, frame) AS place, len(taken) AS n FROM k JOIN e USING (sequence, track_id)),
+f AS (SELECT * REPLACE (coalesce(place, n + row_number() OVER (PARTITION BY sequence, track_id, place IS NULL ORDER BY i)) AS place) FROM p)""", body="SELECT sequence, track_id, frame, conf, place::BIGINT AS place FROM f WHERE place <= 5"))
 def spaced_top_frames(spark, d):
     return filters.spaced_top(b.obs(spark, d), "conf", 5, 20)
 
 
-@query("shot_boundaries")
+@query("shot_boundaries", sql(b.OBS, """k AS (SELECT sequence, frame, max(conf) AS score, row_number() OVER (PARTITION BY sequence ORDER BY frame) AS i FROM obs GROUP BY sequence, frame),
+walk(sequence, i, frame, score, last, shot) AS (
+  SELECT sequence, i, frame, score, frame, 1 FROM k WHERE i = 1
+  UNION ALL
+  SELECT k.sequence, k.i, k.frame, k.score, CASE WHEN k.score >= 0.65 AND k.frame - last >= 15 THEN k.frame ELSE last END, shot + (k.score >= 0.65 AND k.frame - last >= 15)::INT FROM walk w JOIN k ON k.sequence = w.sequence AND k.i = w.i + 1)""", body="SELECT sequence, frame, score, shot::BIGINT AS shot FROM walk"))
 def shot_boundaries(spark, d):
     s = b.obs(spark, d).groupBy("sequence", "frame").agg(F.max("conf").alias("score"))
     return filters.shots(s, "score", 0.65, 15)
 
 
-@query("batch_packing")
+@query("batch_packing", sql(b.OBS, """n AS (SELECT sequence, track_id, count(*) AS images FROM obs GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY track_id) AS i FROM n),
+walk(sequence, i, track_id, images, batch, items, used) AS (
+  SELECT sequence, i, track_id, images, 0, 1, images FROM k WHERE i = 1
+  UNION ALL
+  SELECT sequence, i, track_id, images, CASE WHEN open THEN batch + 1 ELSE batch END, CASE WHEN open THEN 1 ELSE items + 1 END, CASE WHEN open THEN images ELSE used + images END
+  FROM (SELECT k.*, batch, items, used, items >= 4 OR used + k.images > 250 AS open FROM walk w JOIN k ON k.sequence = w.sequence AND k.i = w.i + 1))""", body="SELECT sequence, track_id, images, batch::BIGINT AS batch FROM walk"))
 def batch_packing(spark, d):
     n = b.obs(spark, d).groupBy("sequence", "track_id").agg(F.count("*").alias("images"))
     return filters.pack(n, "images", 4, 250)
