@@ -11,10 +11,13 @@ from boxtrail.plans import bridge as b
 from boxtrail.plans.catalog import query
 from boxtrail.plans.track_queries import rounded, sql
 
-N = F.col("event_id")
 TEXTS = ["walking on the road", "red car", "talking, holding a cup", "running_dog", "Standing in", "unknown", "", "sitting at the"]
 
 
+def number():
+    return F.col("event_id")
+
+
 def pick(values, column):
     """A value of a list by a number, as a Column."""
     return F.get(F.array(*[F.lit(v) for v in values]), (column % len(values)).cast("int"))
@@ -23,7 +26,7 @@ def pick(values, column):
 @query("action_or_noun", """SELECT text, action, count(*) AS n FROM events JOIN (VALUES (0, 'walking on the road', false), (1, 'red car', false), (2, 'talking, holding a cup', true), (3, 'running_dog', false),
   (4, 'Standing in', true), (5, 'unknown', false), (6, '', false), (7, 'sitting at the', true)) v(k, text, action) ON event_id % 8 = k GROUP BY ALL""")
 def action_or_noun(spark, d):
-    t = b.table(spark, d, "events").select(pick(TEXTS, N).alias("text"))
+    t = b.table(spark, d, "events").select(pick(TEXTS, number()).alias("text"))
     return t.select("text", labels.is_action(F.col("text")).alias("action")).groupBy("text", "action").agg(F.count("*").alias("n"))
 
 
@@ -33,15 +36,15 @@ p AS (SELECT *, CASE WHEN ok AND event_id % 3 = 0 THEN fine WHEN event_id % 5 >
 SELECT event_id, CASE WHEN event_id % 4 = 0 AND detail <> 'red thing' THEN 'red ' || detail WHEN event_id % 4 = 2 THEN 'blue ' || detail ELSE detail END AS shown FROM p"""))
 def display_labels(spark, d):
     c = F.col("class")
-    label = F.when(N % 5 == 0, "unknown").when(N % 5 == 2, F.upper(c)).when(N % 5 > 2, F.concat(c, F.lit(" one")))
-    fine = F.when(N % 3 == 0, F.concat(F.lit("Big "), c)).when(N % 3 == 1, c)
-    shown = labels.display_label(c, label, fine, N % 2 == 0, F.when(N % 7 == 0, "red thing"), pick([" RED ", "teal", "blue", None], N))
+    label = F.when(number() % 5 == 0, "unknown").when(number() % 5 == 2, F.upper(c)).when(number() % 5 > 2, F.concat(c, F.lit(" one")))
+    fine = F.when(number() % 3 == 0, F.concat(F.lit("Big "), c)).when(number() % 3 == 1, c)
+    shown = labels.display_label(c, label, fine, number() % 2 == 0, F.when(number() % 7 == 0, "red thing"), pick([" RED ", "teal", "blue", None], number()))
     return b.obs(spark, d).select("event_id", shown.alias("shown"))
 
 
 @query("semantic_hints", sql(b.OBS, body="""SELECT event_id, CASE WHEN event_id % 4 <> 0 AND conf >= 0.65 THEN class END AS label, CASE WHEN conf >= 0.55 THEN 'red' END AS colour, event_id % 4 <> 0 AND conf > 0 AND conf < 0.65 AS focus FROM obs"""))
 def semantic_hints(spark, d):
-    label = F.when(N % 4 == 0, "unknown").otherwise(F.col("class"))
+    label = F.when(number() % 4 == 0, "unknown").otherwise(F.col("class"))
     return b.obs(spark, d).select("event_id", labels.hint(label, F.col("conf"), 0.65).alias("label"), labels.hint(F.lit("red"), F.col("conf"), 0.55).alias("colour"), labels.needs_focus(label, F.col("conf")).alias("focus"))
 
 
@@ -49,15 +52,15 @@ def semantic_hints(spark, d):
   CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE 0.75 END::DOUBLE AS fine_confidence, CASE WHEN event_id % 2 = 0 THEN '2,1' ELSE '2' END AS frames,
   concat_ws(',', CASE WHEN event_id % 4 = 0 THEN 'bad_confidence' END, CASE WHEN event_id % 3 = 2 THEN 'unsupported_fine_type' END, CASE WHEN event_id % 2 = 0 THEN 'frames_not_allowed' END) AS warnings FROM events""")
 def sanitize_output(spark, d):
-    frames = F.when(N % 2 == 0, F.array(F.lit(2), F.lit(9), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2)))
-    made = labels.sanitized(pick(["abc", "1.7", "-0.2", "0.5"], N), pick(["role", "subtype", "odd"], N), F.lit("0.75"), frames, ["role", "subtype"], F.array(F.lit(1), F.lit(2)))
+    frames = F.when(number() % 2 == 0, F.array(F.lit(2), F.lit(9), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2)))
+    made = labels.sanitized(pick(["abc", "1.7", "-0.2", "0.5"], number()), pick(["role", "subtype", "odd"], number()), F.lit("0.75"), frames, ["role", "subtype"], F.array(F.lit(1), F.lit(2)))
     out = b.table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in made.items()])
     return out.withColumns({"frames": F.array_join(F.col("frames").cast("array<string>"), ","), "warnings": F.array_join("warnings", ",")})
 
 
 @query("contrast_gate", "SELECT event_id, event_id % 3 = 0 OR (event_id % 3 = 1 AND event_id % 100 < 70) AS wanted FROM events")
 def contrast_gate(spark, d):
-    return b.table(spark, d, "events").select("event_id", labels.wants_contrast(pick(["clahe", "auto", "off"], N), (N % 100).cast("double")).alias("wanted"))
+    return b.table(spark, d, "events").select("event_id", labels.wants_contrast(pick(["clahe", "auto", "off"], number()), (number() % 100).cast("double")).alias("wanted"))
 
 
 TRACKS = "tracks AS (SELECT sequence, track_id, count(*) AS n, min(class) AS label FROM obs GROUP BY ALL)"
@@ -72,7 +75,7 @@ ix AS (SELECT t.sequence, t.track_id, t.label, n, predicted, coalesce(status, 'm
 
 
 def indexed(spark, d):
-    status = F.when(N % 2 == 0, "resolved").when(N % 5 == 0, "not_found").otherwise("ambiguous")
+    status = F.when(number() % 2 == 0, "resolved").when(number() % 5 == 0, "not_found").otherwise("ambiguous")
     p = b.obs(spark, d).where("event_id % 11 = 0 and track_id % 4 <> 1").select("sequence", "track_id", F.col("class").alias("predicted"), status.alias("status"), "event_id")
     return reports.with_predictions(track_rows(spark, d), p, ["sequence", "track_id"], "event_id")
 
@@ -103,7 +106,7 @@ def scored_partition(spark, d):
 
 @query("manifest_record", """SELECT 's' || (user_id % 4) AS sequence, count(*) AS boxes, count(DISTINCT event_id // 3) AS frames, count(DISTINCT user_id) AS tracks, min(event_id // 3) AS first_frame, max(event_id // 3) AS last_frame FROM events GROUP BY ALL""")
 def manifest_record(spark, d):
-    e = b.table(spark, d, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("sequence"), F.floor(N / 3).alias("frame"), F.col("user_id").alias("track_id"))
+    e = b.table(spark, d, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("sequence"), F.floor(number() / 3).alias("frame"), F.col("user_id").alias("track_id"))
     return reports.manifest_record(e)
 
 
@@ -114,7 +117,7 @@ def ratio_split(spark, d):
 
 @query("efficiency_per_1000", sql(b.OBS, body="SELECT sequence, round(1000.0 * count(*) FILTER (event_id % 3 = 0) / count(DISTINCT frame), 6) AS calls FROM obs GROUP BY ALL"))
 def efficiency_per_1000(spark, d):
-    t = b.obs(spark, d).groupBy("sequence").agg(F.count_if(N % 3 == 0).alias("c"), F.countDistinct("frame").alias("f"))
+    t = b.obs(spark, d).groupBy("sequence").agg(F.count_if(number() % 3 == 0).alias("c"), F.countDistinct("frame").alias("f"))
     return rounded(t.select("sequence", reports.calls_per_1000(F.col("c"), F.col("f")).alias("calls")), "calls")
 
 
@@ -129,8 +132,8 @@ def team_track_rates(spark, d):
 @query("team_query_rates", sql(b.OBS, body="""SELECT class, count(*) AS queries, round(avg((event_id % 4 = 0)::INT), 6) AS resolved_rate, round(avg((event_id % 4 = 1)::INT), 6) AS ambiguous_rate, round(avg((event_id % 4 > 1)::INT), 6) AS not_found_rate, round(avg((event_id % 3 = 0)::INT), 6) AS track_accuracy,
   round(avg((event_id % 6 = 0)::INT), 6) AS track_and_team_rate, round(avg(CASE WHEN event_id % 5 <> 0 THEN conf END), 6) AS support, round(avg(event_id % 7), 6) AS calls, round(avg(w), 6) AS seconds FROM obs GROUP BY ALL"""))
 def team_query_rates(spark, d):
-    status = pick(["resolved", "ambiguous", "not_found", "missing_prediction"], N)
-    q = b.obs(spark, d).select("class", F.col("track_id").alias("track"), (F.col("track_id") + N % 3).alias("selected"), (N % 2 == 0).alias("team_correct"), status.alias("status"), F.when(N % 5 != 0, F.col("conf")).alias("support"), (N % 7).alias("calls"), F.col("w").alias("seconds"))
+    status = pick(["resolved", "ambiguous", "not_found", "missing_prediction"], number())
+    q = b.obs(spark, d).select("class", F.col("track_id").alias("track"), (F.col("track_id") + number() % 3).alias("selected"), (number() % 2 == 0).alias("team_correct"), status.alias("status"), F.when(number() % 5 != 0, F.col("conf")).alias("support"), (number() % 7).alias("calls"), F.col("w").alias("seconds"))
     return rounded(reports.query_rates(q, ["class"]), "resolved_rate", "ambiguous_rate", "not_found_rate", "track_accuracy", "track_and_team_rate", "support", "calls", "seconds")
 
 
@@ -158,13 +161,13 @@ def complete_labels(spark, d):
 
 @query("semantic_margin_signal", sql(b.OBS, "m AS (SELECT sequence, track_id, arg_min(conf, frame) FILTER (event_id % 3 = 0 AND track_id % 5 <> 0) AS score FROM obs GROUP BY ALL)", body="SELECT sequence, track_id, round(score, 6) AS score, coalesce(score < 0.3, false) AS triggered, CASE WHEN score IS NULL THEN 'info' WHEN score < 0.15 THEN 'high' ELSE 'warning' END AS severity FROM m"))
 def semantic_margin_signal(spark, d):
-    o = b.obs(spark, d).withColumn("margin", F.when((N % 3 == 0) & (F.col("track_id") % 5 != 0), F.col("conf")))
+    o = b.obs(spark, d).withColumn("margin", F.when((number() % 3 == 0) & (F.col("track_id") % 5 != 0), F.col("conf")))
     return rounded(reports.margin_signal(o, ["sequence", "track_id"], "frame", "margin", 0.3), "score")
 
 
 @query("shot_representatives", sql(b.OBS, "s AS (SELECT *, sum((event_id % 9 = 0)::INT) OVER (PARTITION BY sequence, track_id ORDER BY frame) AS shot FROM obs)", body="SELECT sequence, track_id, shot::BIGINT AS shot, arg_max(frame, (w, -frame)) AS representative, max(w) AS quality, count(*) AS rows FROM s GROUP BY ALL"))
 def shot_representatives(spark, d):
-    return reports.shot_representatives(b.obs(spark, d), ["sequence", "track_id"], "frame", N % 9 == 0, "w")
+    return reports.shot_representatives(b.obs(spark, d), ["sequence", "track_id"], "frame", number() % 9 == 0, "w")
 
 
 @query("winner_delta", sql(b.OBS, "m AS (SELECT sequence, class, count(*) AS n FROM obs GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY n DESC, class) AS i FROM m)", body="SELECT sequence, max(CASE WHEN i = 1 THEN class END) AS winner, max(CASE WHEN i = 2 THEN class END) AS reference, max(CASE WHEN i = 1 THEN n END) - max(CASE WHEN i = 2 THEN n END) AS delta FROM c GROUP BY ALL"))
@@ -174,7 +177,7 @@ def winner_delta(spark, d):
 
 @query("best_association", sql(b.OBS, "a AS (SELECT sequence || frame AS request, event_id, event_id % 4 <> 0 AS accepted, w, h, x FROM obs), k AS (SELECT *, row_number() OVER (PARTITION BY request, accepted ORDER BY w DESC, h DESC, x DESC, event_id) AS i FROM a)", body="SELECT request, event_id, accepted AND i = 1 AS accepted, CASE WHEN accepted AND i > 1 THEN 'lower_ranked_grounding_candidate' END AS reason FROM k"))
 def best_association(spark, d):
-    a = b.obs(spark, d).select(F.concat("sequence", F.col("frame").cast("string")).alias("request"), "event_id", (N % 4 != 0).alias("accepted"), F.col("w").alias("confidence"), F.col("h").alias("margin"), F.col("x").alias("score"))
+    a = b.obs(spark, d).select(F.concat("sequence", F.col("frame").cast("string")).alias("request"), "event_id", (number() % 4 != 0).alias("accepted"), F.col("w").alias("confidence"), F.col("h").alias("margin"), F.col("x").alias("score"))
     return reports.best_association(a, "request", "event_id").select("request", "event_id", "accepted", "reason")
 
 
@@ -186,21 +189,21 @@ def tagged_union(spark, d):
 
 @query("ordered_union", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'b,a,c' WHEN 1 THEN 'b,a' ELSE 'b,a,z' END AS names FROM events")
 def ordered_union(spark, d):
-    more = F.when(N % 3 == 0, F.array(F.lit("a"), F.lit("c"))).when(N % 3 == 1, F.array(F.lit("b"))).otherwise(F.array(F.lit("z"), F.lit("z")))
+    more = F.when(number() % 3 == 0, F.array(F.lit("a"), F.lit("c"))).when(number() % 3 == 1, F.array(F.lit("b"))).otherwise(F.array(F.lit("z"), F.lit("z")))
     return b.table(spark, d, "events").select("event_id", F.array_join(labels.ordered_union(F.array(F.lit("b"), F.lit("a")), more), ",").alias("names"))
 
 
 @query("crop_gates", sql(b.OBS, """c AS (SELECT event_id, w, h, w * h AS area, (event_id % 10) / 10.0 AS visible, (event_id % 60)::DOUBLE AS sharp FROM obs),
 r AS (SELECT *, concat_ws(',', CASE WHEN w < 30 THEN 'narrow' END, CASE WHEN h < 25 THEN 'short' END, CASE WHEN area < 800 THEN 'small' END, CASE WHEN visible < 0.5 THEN 'clipped' END, CASE WHEN sharp < 20 THEN 'blurry' END) AS reasons, visible * least(1.0, area / 3200) AS s FROM c)""", body="SELECT event_id, reasons, round((CASE WHEN reasons <> '' THEN least(s, 0.25) ELSE s END)::DOUBLE, 6) AS quality FROM r"))
 def crop_gates(spark, d):
-    visible, area = (N % 10) / 10.0, F.col("w") * F.col("h")
-    reasons = scalars.crop_reasons(F.col("w"), F.col("h"), area, visible, (N % 60).cast("double"), {"width": 30, "height": 25, "area": 800, "visible": 0.5, "sharpness": 20})
+    visible, area = (number() % 10) / 10.0, F.col("w") * F.col("h")
+    reasons = scalars.crop_reasons(F.col("w"), F.col("h"), area, visible, (number() % 60).cast("double"), {"width": 30, "height": 25, "area": 800, "visible": 0.5, "sharpness": 20})
     return rounded(b.obs(spark, d).select("event_id", F.array_join(reasons, ",").alias("reasons"), scalars.crop_quality(area, visible, reasons, 800).alias("quality")), "quality")
 
 
 @query("queue_quality", sql(b.OBS, body="SELECT event_id, round(0.3 * (event_id % 10) / 10 + 0.2 * (event_id % 7) / 7 + 0.2 * w / 60 + 0.2 * conf + 0.1 * h / 50, 6) AS quality FROM obs"))
 def queue_quality(spark, d):
-    return rounded(b.obs(spark, d).select("event_id", scalars.queue_quality(N % 10 / 10, N % 7 / 7, F.col("w") / 60, F.col("conf"), F.col("h") / 50).alias("quality")), "quality")
+    return rounded(b.obs(spark, d).select("event_id", scalars.queue_quality(number() % 10 / 10, number() % 7 / 7, F.col("w") / 60, F.col("conf"), F.col("h") / 50).alias("quality")), "quality")
 
 
 @query("crop_to_source", sql(b.OBS, body="SELECT event_id, x / 2 + 10 AS x1, y / 4 + 5 AS y1, (x + w) / 2 + 10 AS x2, (y + h) / 4 + 5 AS y2 FROM obs"))
@@ -220,8 +223,8 @@ def box_scales(spark, d):
 
 @query("event_priorities", sql(b.OBS, body="""SELECT event_id, round([3.0, 2.5, 1.0, 2.0][(event_id % 4)::INT + 1] + h / 100 + 0.25 * CASE WHEN event_id % 5 = 0 THEN 0 ELSE conf END, 6) AS priority, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 20 ELSE 4 END AS refresh FROM obs"""))
 def event_priorities(spark, d):
-    p = scalars.event_priority(pick(["new_track", "low_confidence", "periodic_refresh", "other"], N), F.col("h") / 100, F.when(N % 5 != 0, F.col("conf")))
-    return b.obs(spark, d).select("event_id", p.alias("priority"), scalars.refresh_multiplier(F.when(N % 3 != 0, F.col("class")), N % 2 == 0).alias("refresh"))
+    p = scalars.event_priority(pick(["new_track", "low_confidence", "periodic_refresh", "other"], number()), F.col("h") / 100, F.when(number() % 5 != 0, F.col("conf")))
+    return b.obs(spark, d).select("event_id", p.alias("priority"), scalars.refresh_multiplier(F.when(number() % 3 != 0, F.col("class")), number() % 2 == 0).alias("refresh"))
 
 
 @query("stable_ids", """SELECT user_id, event_type, 'ev_' || substr(sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 16) AS id FROM (SELECT DISTINCT user_id, event_type FROM events)""")
@@ -233,13 +236,13 @@ def stable_ids(spark, d):
 m AS (SELECT scene, canonical, max(conf) AS conf, max(level) AS level, string_agg(DISTINCT attribute, ',' ORDER BY attribute) AS attributes FROM o GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY level DESC, conf DESC, canonical) AS rank FROM m)""", body="SELECT scene, canonical, round(conf, 6) AS conf, ['ignore', 'detect_only', 'track'][level + 1] AS action, attributes, rank::INT AS rank FROM k WHERE rank <= 2"))
 def merge_objects(spark, d):
-    o = b.obs(spark, d).select(F.concat_ws("/", "sequence", F.col("frame").cast("string")).alias("scene"), F.col("class").alias("canonical"), "conf", pick(vocabulary.ACTIONS, N).alias("action"), F.array(F.concat(F.lit("a"), (N % 4).cast("string"))).alias("attributes"))
+    o = b.obs(spark, d).select(F.concat_ws("/", "sequence", F.col("frame").cast("string")).alias("scene"), F.col("class").alias("canonical"), "conf", pick(vocabulary.ACTIONS, number()).alias("action"), F.array(F.concat(F.lit("a"), (number() % 4).cast("string"))).alias("attributes"))
     return rounded(vocabulary.merge_objects(o, most=2).withColumn("attributes", F.array_join("attributes", ",")), "conf")
 
 
 @query("closed_taxonomy", sql(b.OBS, body="""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'vehicle' WHEN 1 THEN 'vehicle' WHEN 2 THEN 'person' ELSE 'unknown' END AS label, round(CASE WHEN event_id % 4 = 3 THEN 1 - conf ELSE conf END, 6) AS confidence, CASE event_id % 4 WHEN 3 THEN 'other' WHEN 2 THEN 'people' ELSE 'cars' END AS family FROM obs"""))
 def closed_taxonomy(spark, d):
-    name = pick(["sports car", "vehicle", "player", "cloud"], N)
+    name = pick(["sports car", "vehicle", "player", "cloud"], number())
     label, confidence = vocabulary.closed_taxonomy(name, F.col("conf"), ["vehicle", "person"], {"sports car": "vehicle", "player": "person", "cloud": "sky"})
     return rounded(b.obs(spark, d).select("event_id", label.alias("label"), confidence.alias("confidence"), vocabulary.family(name, {"cars": ["car", "vehicle"], "people": ["player"]}).alias("family")), "confidence")
 
@@ -252,25 +255,25 @@ def track_or_detect(spark, d):
 
 @query("emission_policy", "SELECT event_id, event_id % 3 = 0 AND event_id % 4 = 0 AS strict, event_id % 3 <> 2 AND event_id % 4 <= 2 AS lenient FROM events")
 def emission_policy(spark, d):
-    state = pick(["confirmed", "tentative", "deleted"], N)
-    return b.table(spark, d, "events").select("event_id", filters.emitted(state, N % 4).alias("strict"), filters.emitted(state, N % 4, False, 2).alias("lenient"))
+    state = pick(["confirmed", "tentative", "deleted"], number())
+    return b.table(spark, d, "events").select("event_id", filters.emitted(state, number() % 4).alias("strict"), filters.emitted(state, number() % 4, False, 2).alias("lenient"))
 
 
 @query("spatial_gate", sql(b.OBS, body="""SELECT event_id, conf >= 0.5 OR (event_id % 2 = 0 AND w / 60 >= 0.6) AS passed, CASE WHEN conf >= 0.5 OR (event_id % 2 = 0 AND w / 60 >= 0.6) THEN NULL WHEN event_id % 2 <> 0 THEN 'centre_outside' ELSE 'low_coverage' END AS reason FROM obs"""))
 def spatial_gate(spark, d):
-    passed, reason = filters.spatial_gate(F.col("conf"), N % 2 == 0, F.col("w") / 60, 0.5, 0.6)
+    passed, reason = filters.spatial_gate(F.col("conf"), number() % 2 == 0, F.col("w") / 60, 0.5, 0.6)
     return b.obs(spark, d).select("event_id", passed.alias("passed"), reason.alias("reason"))
 
 
 @query("gate_list", sql(b.OBS, body="SELECT event_id, concat_ws(',', CASE WHEN NOT w > 30 THEN 'wide' END, CASE WHEN NOT conf > 0.4 THEN 'sure' END, CASE WHEN frame <= 5 OR event_id % 4 = 0 THEN 'old' END) AS failed FROM obs"))
 def gate_list(spark, d):
-    o = b.obs(spark, d).withColumn("age", F.when(N % 4 != 0, F.col("frame")))
+    o = b.obs(spark, d).withColumn("age", F.when(number() % 4 != 0, F.col("frame")))
     return segments.gated(o, {"wide": "w > 30", "sure": "conf > 0.4", "old": "age > 5"}).select("event_id", F.array_join("failed", ",").alias("failed"))
 
 
 @query("best_batch_prediction", sql(b.OBS, "p AS (SELECT 'b' || (frame % 5) AS batch, track_id, class, w, event_id FROM obs), e AS (SELECT DISTINCT batch, track_id FROM p WHERE track_id % 2 = 0 UNION SELECT DISTINCT batch, -1 FROM p)", body="SELECT e.batch, e.track_id, coalesce(arg_max(class, (w, -event_id)), 'unknown') AS label, coalesce(max(w), 0)::DOUBLE AS conf FROM e LEFT JOIN p USING (batch, track_id) GROUP BY ALL"))
 def best_batch_prediction(spark, d):
-    p = b.obs(spark, d).select(F.concat(F.lit("b"), (F.col("frame") % 5).cast("string")).alias("batch"), "track_id", F.col("class").alias("label"), F.col("w").alias("conf"), N.alias("position"))
+    p = b.obs(spark, d).select(F.concat(F.lit("b"), (F.col("frame") % 5).cast("string")).alias("batch"), "track_id", F.col("class").alias("label"), F.col("w").alias("conf"), number().alias("position"))
     expected = p.where("track_id % 2 = 0").select("batch", "track_id").union(p.select("batch", F.lit(-1).cast("long"))).distinct()
     return fusion.best_batch_prediction(p, expected)
 
@@ -292,9 +295,9 @@ def probation(spark, d):
 
 @query("event_frames", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id + 4)::VARCHAR WHEN 1 THEN event_id || ',' || (event_id + 9) ELSE event_id || ',' || (event_id + 4) || ',' || (event_id + 9) END AS frames FROM events""")
 def event_frames(spark, d):
-    e = b.table(spark, d, "events").select("event_id", N.alias("s"), (N + 4).alias("t"), (N + 9).alias("e"))
+    e = b.table(spark, d, "events").select("event_id", number().alias("s"), (number() + 4).alias("t"), (number() + 9).alias("e"))
     frames = [signals.event_frames("s", "t", "e", k) for k in (1, 2, 3)]
-    chosen = F.when(N % 3 == 0, frames[0]).when(N % 3 == 1, frames[1]).otherwise(frames[2])
+    chosen = F.when(number() % 3 == 0, frames[0]).when(number() % 3 == 1, frames[1]).otherwise(frames[2])
     return e.select("event_id", F.array_join(chosen.cast("array<string>"), ",").alias("frames"))
 
 
