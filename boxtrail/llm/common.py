@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,28 +74,40 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows that one task takes in a round of components; a table of fewer needs no shuffle.
+TASK_ROWS = 200_000
+
+
+def _both(p: Column, q: Column, r: Column, s: Column) -> Column:
+    """Two rows (u, v) from one, in place, so that a table in one partition stays in one."""
+    return F.inline(F.array(F.struct(p.alias("u"), q.alias("v")), F.struct(r.alias("u"), s.alias("v"))))
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """(node, root) with the smallest node reachable, for every node of edges (a, b).
 
     Alternating large-star and small-star contraction (Kiveris et al. 2014): each round is two
     aggregations joined back to the edges, so a hub's edges never meet in one task, and the number
     of rounds grows with the logarithm of the longest chain. Stops when a round changes nothing.
+    Each round is written to as many files as its rows need, and read by as many tasks.
     """
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
     e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges0")
-    last, before = "edges0", None
+    last, before, rows = "edges0", None, e.count()
     for i in range(rounds):
-        both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
+        parts = 1 + rows // TASK_ROWS
+        both = e.coalesce(parts).select(_both(u, v, v, u))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(v.alias("u"), m.alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
-        e = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"edges{i + 1}")
+        small = large.join(low, "u").select(_both(v, m, u, m)).where("u <> v")
+        e = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(parts), f"edges{i + 1}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(last)
         last = f"edges{i + 1}"
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
