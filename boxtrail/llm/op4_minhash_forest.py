@@ -25,6 +25,7 @@ REACH = 47  # of a region of at most REACH + 1 rows all pairs are compared; larg
 LEAF = 8  # rows of a part of a larger region whose pairs are compared
 ENDS = 200_000  # rows at the ends of sorted runs that one task compares; more of them are sorted by range again
 BUCKETS = 1 << 20  # of the counts that order shingles by rarity; they decide on the work only, as any order is exact
+PARITY = 8  # longs of a set's parity bitmap
 SALT = 1_000  # rows of a shingle in one block of the exact join
 SLACK = 14  # equal values that a pair at the threshold may lack: over four deviations
 BLOCK = 400_000  # shingles hashed at once, for bounded memory
@@ -171,36 +172,45 @@ def _neighbours(least: int, edges: bool):
     return run
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY bits whether an odd number of members falls on it. Two sets differ in at least as many members as their bitmaps in bits."""
+    bits = np.bincount((s.view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _rarest(counts: np.ndarray, threshold: int):
     """Of each set its rarest shingles: a partner of at most its size that reaches the threshold has one of them among its own short ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["s", "cid", "root", "n", "at", "short"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        names, kinds = ["s", "cid", "root", "n", "at", "short", *(f"p{i}" for i in range(PARITY))], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
         for batch in batches:
             for cid, root, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = members.values.to_numpy(zero_copy_only=False)
-                n = len(s)
+                n, bits = len(s), parity(s)
                 s = s[np.lexsort((s, counts[s & (BUCKETS - 1)]))][: n + 1 - -(-threshold * n // 100)]
                 at = np.arange(len(s), dtype=np.int32)
                 short = at < n + 1 - -(-2 * threshold * n // (100 + threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int32)), pa.array(at), pa.array(short)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int32)), pa.array(at), pa.array(short), *(pa.array(np.full(len(s), p)) for p in bits)], names)
 
     return run
 
 
 def _exact_pairs(big: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(a, b, ra, rb) with a < b: all pairs of big (cid, root, members) that can reach the threshold and have two roots. Two sets that reach it
-    share one of the rarest shingles of each (Xiao et al. 2008), by any one order; after the first of those enough others must be left."""
+    share one of the rarest shingles of each (Xiao et al. 2008), by any one order; after the first of those enough others must be left, and their
+    parity bitmaps (Sandes et al. 2020) may differ in no more bits than the sets in members."""
     seen = big.select(F.explode("members").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).where("n > 1").toArrow()
     counts = np.zeros(BUCKETS, np.int32)
     counts[seen["bucket"].to_numpy()] = np.minimum(seen["n"].to_numpy(), 2**31 - 1)
-    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n int, at int, short boolean"), "rare")
+    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n int, at int, short boolean, " + ", ".join(f"p{i} long" for i in range(PARITY))), "rare")
     used = rare.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.bool_or("short").alias("any"))
     used = used.where("lo <> hi and any").select("s", F.ceil(F.col("rows") / SALT).cast("int").alias("blocks"))
     rare = scratch.save(rare.join(used, "s"), "shared")
-    x = rare.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    y = rare.where("short").select("s", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    x = rare.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"), *(F.col(f"p{i}").alias(f"px{i}") for i in range(PARITY)))
+    y = rare.where("short").select("s", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"), *(F.col(f"p{i}").alias(f"py{i}") for i in range(PARITY)))
+    apart = " + ".join(f"bit_count(px{i} ^ py{i})" for i in range(PARITY))
     near = f"rx <> ry and (ny < nx or (ny = nx and y < x)) and 100 * ny >= {threshold} * nx and {100 + threshold} * least(nx - ix, ny - iy) >= {threshold} * (nx + ny)"
+    near += f" and {100 + threshold} * ({apart}) <= {100 - threshold} * (nx + ny)"
     found = x.join(y, ["s", "block"]).where(near)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, rx, ry)").alias("ra"), F.expr("if(x < y, ry, rx)").alias("rb")).distinct()
 
