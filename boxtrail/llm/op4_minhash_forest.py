@@ -190,7 +190,7 @@ def _rarest(counts: np.ndarray, threshold: int):
                 s = s[np.lexsort((s, counts[s & (BUCKETS - 1)]))][: n + 1 - -(-threshold * n // 100)]
                 at = np.arange(len(s), dtype=np.int32)
                 short = at < n + 1 - -(-2 * threshold * n // (100 + threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int32)), pa.array(at), pa.array(short), *(pa.array(np.full(len(s), p)) for p in bits)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int64)), pa.array(at), pa.array(short), *(pa.array(np.full(len(s), p)) for p in bits)], names)
 
     return run
 
@@ -202,7 +202,7 @@ def _exact_pairs(big: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     seen = big.select(F.explode("members").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).where("n > 1").toArrow()
     counts = np.zeros(BUCKETS, np.int32)
     counts[seen["bucket"].to_numpy()] = np.minimum(seen["n"].to_numpy(), 2**31 - 1)
-    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n int, at int, short boolean, " + ", ".join(f"p{i} long" for i in range(PARITY))), "rare")
+    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n long, at int, short boolean, " + ", ".join(f"p{i} long" for i in range(PARITY))), "rare")
     used = rare.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.bool_or("short").alias("any"))
     used = used.where("lo <> hi and any").select("s", F.ceil(F.col("rows") / SALT).cast("int").alias("blocks"))
     rare = scratch.save(rare.join(used, "s"), "shared")

@@ -221,6 +221,23 @@ def test_op4_compares_across_several_partitions_of_ends(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute_op4(docs, 3, 85)
 
 
+def test_op4_parity_bitmaps_differ_in_no_more_bits_than_the_sets():
+    dice = np.random.default_rng(4)
+    for n, changed in [(1, 1), (30, 3), (500, 40), (5000, 900), (5000, 0)]:
+        x = np.unique(dice.integers(-(2**63), 2**63 - 1, n + changed))
+        a, b = x[changed // 2 :], x[: len(x) - changed // 3]
+        apart = int(np.bitwise_count((op4.parity(a) ^ op4.parity(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert (apart == 0) == (len(np.setxor1d(a, b)) == 0)
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr("boxtrail.llm.common.TASK_ROWS", 7)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 240)] + [(9, 8), (8, 9), (5, 5)], "a long, b long")
+    found = dict(components(spark, edges, Scratch(spark)).collect())
+    assert found == {i: 100 for i in range(100, 131)} | {i: 200 for i in range(200, 240)} | {9: 8, 8: 8}
+
+
 def test_op4_descends_larger_regions():
     """Rows of a region are compared whole up to REACH + 1, beyond that in parts of at most LEAF rows, and neighbours always."""
     key = np.zeros((100, op4.VALUES), np.uint16)
