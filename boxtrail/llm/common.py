@@ -87,7 +87,8 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds:
     """(node, root) with the smallest node reachable, for every node of edges (a, b).
 
     Alternating large-star and small-star contraction (Kiveris et al. 2014): each round is two
-    aggregations joined back to the edges, so a hub's edges never meet in one task, and the number
+    aggregations joined back to the edges, so no list of a hub's edges is ever built (as rows of one key
+    they share a partition of the join, unless Spark splits or broadcasts it), and the number
     of rounds grows with the logarithm of the longest chain. Stops when a round changes nothing.
     Each round is written to as many files as its rows need, and read by as many tasks.
     """
