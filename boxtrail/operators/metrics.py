@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from boxtrail.functions.scalars import f1, ratio_or_null, ratio_or_zero
-from boxtrail.operators.matching import hungarian
+from boxtrail.operators.hota import identity_true_positives
 from boxtrail.operators.tracks import runs
 
 BUCKET = 64  # frames by which chances and rows meet
@@ -104,15 +103,9 @@ def clear_mot(matches: DataFrame, gt: DataFrame, pred: DataFrame, switches: Data
 def identity_metrics(pairs: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
     """IDF1, IDP and IDR of each sequence (Ristani et al. 2016): tracks are assigned one to one for the most frames in common.
 
-    pairs: sequence, gt_track_id, pred_track_id of boxes that overlap enough. Only counts by pair of tracks reach the assignment of a sequence.
+    pairs: sequence, gt_track_id, pred_track_id of boxes that overlap enough.
     """
-    common = pairs.groupBy("sequence", "gt_track_id", "pred_track_id").agg(F.count("*").alias("n"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="gt_track_id", columns="pred_track_id", values="n", aggfunc="sum").fillna(0).to_numpy()
-        return pd.DataFrame({"sequence": [pdf.sequence.iloc[0]], "idtp": [int(sum(table[a, b] for a, b in hungarian(table.max() - table)))]})
-
-    idtp = common.groupBy("sequence").applyInPandas(assign, "sequence string, idtp long")
+    idtp = identity_true_positives(pairs)
     n = lambda df, name: df.groupBy("sequence").agg(F.count("*").alias(name))
     j = n(gt, "gt").join(n(pred, "pred"), "sequence", "full").join(idtp, "sequence", "left").na.fill(0, ["gt", "pred", "idtp"])
     r = lambda a, b: F.round(ratio_or_null(a, b), 6)

@@ -194,12 +194,6 @@ def clear_mot(spark, d):
     return metrics.clear_mot(m, b.obs(spark, d), b.pred(spark, d), switches.id_switches(m))
 
 
-@query("identity_f1")
-def identity_f1(spark, d):
-    o, p = b.obs(spark, d), b.pred(spark, d)
-    return metrics.identity_metrics(matching.iou_pairs(o, p, 0.5), o, p)
-
-
 TRACKERS = "o5 AS (SELECT *, track_id % 5 AS tracker FROM obs), tr AS (SELECT tracker, round(avg(conf), 6) AS hota, round(avg(x) / 200, 6) AS idf1, round(avg(y) / 120, 6) AS assa, (count(*) FILTER (class = 'error'))::DOUBLE AS idsw, (count(*) % 7)::DOUBLE AS frag, round(avg(w) / 60, 6) AS mota, CASE WHEN tracker = 2 THEN NULL ELSE round(avg(h), 6) END AS fps FROM o5 GROUP BY tracker)"
 
 
