@@ -132,7 +132,6 @@ def reacquire(events: DataFrame, targets: DataFrame, obs: DataFrame, policy: Pol
     for n in range(1, most + 1):
         lo = F.greatest(F.lit(1), F.least(F.col("last") + 1, F.col("start") - p.before))
         e = events.where(F.col("n") == n).join(state, TARGET).withColumns({"lo": lo, "hi": F.greatest("stop", "trigger") + p.after, "seen": F.greatest(F.lit(1), F.least(lo, F.col("last") - p.overlap))})
-        e = cut(e)
         near = _bucketed(e.select(*TARGET, "lo", "hi", "seen", "stop", "last"), "seen", "hi").join(rows.withColumn("_bucket", F.floor(F.col("frame") / BUCKET)), ["sequence", "_bucket"]).where(F.col("frame").between(F.col("seen"), F.col("hi")))
         inside, after = F.col("frame") >= F.col("lo"), (F.col("frame") >= F.col("lo")) & (F.col("frame") > F.col("stop"))
         c = near.groupBy(*TARGET, "track_id").agg(
@@ -157,7 +156,7 @@ def reacquire(events: DataFrame, targets: DataFrame, obs: DataFrame, policy: Pol
         other = F.col("track_id") != F.col("raw")
         resumed = F.max(F.when(~other & (F.col("after_rows") >= p.least_rows), F.col("after_first")))
         best = F.slice(F.sort_array(F.collect_list(F.when(other & passed, F.struct((-F.round(score, 12)).alias("minus"), "first", "track_id")))), 1, 2)
-        top = cut(c.groupBy(*TARGET).agg(resumed.alias("resumed"), best.alias("best"), F.count_if(other).alias("candidates"), F.count_if(other & passed).alias("passed")))
+        top = (c.groupBy(*TARGET).agg(resumed.alias("resumed"), best.alias("best"), F.count_if(other).alias("candidates"), F.count_if(other & passed).alias("passed")))
         d = e.join(top, TARGET, "left").withColumns({"one": F.try_element_at("best", F.lit(1)), "two": F.try_element_at("best", F.lit(2))})
         value, margin = -F.col("one.minus"), F.col("two.minus") - F.col("one.minus")
         status = F.when(F.col("resumed").isNotNull(), "same_raw_id_resumed").when(F.col("one").isNull(), "not_found").when(value < p.least_score, "rejected").when(margin < p.margin, "ambiguous").otherwise("provisional")

@@ -48,9 +48,9 @@ def identity_segments(spark, d):
     return rounded(identity.segments_of(*step_events(spark, d)), "confidence", digits=9)
 
 
-P = identity.Policy()
-REACQUIRE = f"""gaps AS (SELECT sequence, track_id AS target, frame AS last, frame + 1 AS start, next - 1 AS stop FROM (SELECT *, lead(frame) OVER (PARTITION BY sequence, track_id ORDER BY frame) AS next FROM obs) WHERE next - frame > 60),
-ev AS MATERIALIZED (SELECT sequence, target, row_number() OVER (PARTITION BY sequence, target ORDER BY start) AS n, target || '-' || start AS event, start, least(stop, start + 40) AS stop FROM gaps),
+P = identity.Policy(before=10, after=8)  # short windows, so that a target is gone when the window ends
+REACQUIRE = f"""gaps AS (SELECT sequence, track_id AS target, frame AS last, frame + 1 AS start, next - 1 AS stop FROM (SELECT *, lead(frame) OVER (PARTITION BY sequence, track_id ORDER BY frame) AS next FROM obs) WHERE next - frame > 30),
+ev AS MATERIALIZED (SELECT sequence, target, row_number() OVER (PARTITION BY sequence, target ORDER BY start) AS n, target || '-' || start AS event, start, least(stop, start + 2) AS stop FROM gaps),
 begun AS (SELECT sequence, target, min(last) AS frame FROM gaps GROUP BY ALL),
 o AS MATERIALIZED (SELECT sequence, track_id, frame, x + w / 2 AS cx, y + h / 2 AS cy FROM obs),
 scales AS MATERIALIZED (SELECT sequence, greatest(1, sqrt(pow(max(x + w), 2) + pow(max(y + h), 2))) AS scale FROM obs GROUP BY ALL),
@@ -82,9 +82,9 @@ walk AS (
 @query("reacquisition_chain", sql(b.OBS, REACQUIRE, body="SELECT sequence, target, n, event, raw_before AS raw, status, selected, start_frame, round(score, 6) AS score, round(margin, 6) AS margin, candidates, passed, confirmed FROM walk WHERE n > 0"))
 def reacquisition_chain(spark, d):
     o = b.obs(spark, d)
-    g = tracks.track_gaps(o).where("gap_frames >= 60").withColumnRenamed("track_id", "target")
+    g = tracks.track_gaps(o).where("gap_frames >= 30").withColumnRenamed("track_id", "target")
     order = F.row_number().over(W.partitionBy("sequence", "target").orderBy("gap_start")).cast("long")
     name = F.concat_ws("-", F.col("target").cast("string"), F.col("gap_start").cast("string"))
-    events = g.select("sequence", "target", order.alias("n"), name.alias("event"), F.col("gap_start").alias("start"), F.least("gap_end", F.col("gap_start") + 40).alias("stop"), F.col("gap_start").alias("trigger"))
+    events = g.select("sequence", "target", order.alias("n"), name.alias("event"), F.col("gap_start").alias("start"), F.least("gap_end", F.col("gap_start") + 2).alias("stop"), F.col("gap_start").alias("trigger"))
     targets = g.groupBy("sequence", "target").agg((F.min("gap_start") - 1).alias("frame")).withColumn("raw", F.col("target"))
-    return rounded(identity.reacquire(events, targets, o), "score", "margin")
+    return rounded(identity.reacquire(events, targets, o, P), "score", "margin")
