@@ -44,17 +44,36 @@ def needs_focus(label: Column, confidence: Column, least: float = 0.65) -> Colum
     return F.coalesce(~label.isin(*NOTHING) & (confidence > 0) & (confidence < least), F.lit(False))
 
 
-def sanitized(confidence: Column, fine_type: Column, fine_confidence: Column, frames: Column, types: list[str], allowed: Column) -> dict[str, Column]:
-    """What a model says, held to what it may say: confidences as numbers in 0 to 1, known fine types, allowed frames in their order; warnings name what was changed."""
-    number = lambda c: c.try_cast("double")
-    good = lambda c: F.coalesce(number(c).isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf")), F.lit(False))
-    bounded = lambda c: F.when(good(c), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c)))).otherwise(0.0)
-    known = F.coalesce(fine_type.isin(types), F.lit(False))
-    kept = F.array_intersect(frames, allowed)
-    warnings = [F.when(~good(confidence), "bad_confidence"), F.when(~known, "unsupported_fine_type"), F.when(F.size(kept) < F.size(F.array_distinct(frames)), "frames_not_allowed")]
+#: The kinds of a fine label that an answer may name.
+FINE_TYPES = ("role", "subtype", "species", "breed", "make", "model", "make_model", "medical", "diagnosis", "identity", "unknown")
+
+
+def sanitized(confidence: Column, fine_label: Column, fine_type: Column, fine_confidence: Column, frames: Column, allowed: Column) -> dict[str, Column]:
+    """What a model says, held to what it may say; warnings name what was changed.
+
+    Confidences (text) become numbers in 0 to 1; one that is no finite number or lies outside is warned of, a missing one is 0. Fine types are compared in lower case with _ for
+    spaces and hyphens; with another type the fine label is unknown. frames (an array of text): whole numbers over 0, each once, in rising order, of those that are allowed
+    (null: all).
+    """
+    number = lambda c: F.coalesce(c.try_cast("double"), F.lit(float("nan")))
+    finite = lambda c: ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf"))
+    bounded = lambda c: F.when(finite(c), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c)))).otherwise(0.0)
+    changed = lambda c: c.isNotNull() & (~finite(c) | (bounded(c) != number(c)))
+    kind = F.regexp_replace(F.lower(F.trim(F.coalesce(fine_type, F.lit("unknown")))), "[- ]", "_")
+    known = kind.isin(*FINE_TYPES)
+    said = F.trim(F.coalesce(fine_label, F.lit("unknown")))
+    numbers = F.array_sort(F.array_distinct(F.filter(F.transform(frames, lambda v: v.try_cast("long")), lambda v: v > 0)))
+    kept = F.when(allowed.isNull(), numbers).otherwise(F.array_sort(F.array_intersect(numbers, allowed.cast("array<bigint>"))))
+    warnings = [
+        F.when(changed(confidence), "invalid_confidence_bounded:confidence"),
+        F.when(changed(fine_confidence), "invalid_confidence_bounded:fine_confidence"),
+        F.when(~known, "unsupported_fine_label_type"),
+        F.when(F.size(kept) < F.size(numbers), "unsupported_evidence_frames_removed"),
+    ]
     return {
         "confidence": bounded(confidence),
-        "fine_type": F.when(known, fine_type).otherwise("unknown"),
+        "fine_label": F.when(known & (said != ""), said).otherwise("unknown"),
+        "fine_type": F.when(known, kind).otherwise("unknown"),
         "fine_confidence": F.when(known, bounded(fine_confidence)).otherwise(0.0),
         "frames": kept,
         "warnings": F.array_compact(F.array(*warnings)),

@@ -47,15 +47,27 @@ def manifest_record(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("sequence").agg(F.count("*").alias("boxes"), F.countDistinct("frame").alias("frames"), F.countDistinct("track_id").alias("tracks"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-def ratio_split(names: DataFrame, name: str, ratios: tuple[float, float], seed: int = 42) -> DataFrame:
-    """(name, split): names in the order of a seeded MD5, the first round(n * ratio) for train and val, at least one for each split from three names on.
-    The order is the hash's, not a random generator's. One row for each sequence reaches the window."""
+def split_counts(total: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:
+    """Sizes of train, val and test. From three rows on, and with all ratios above 0, each gets one at least, and what is too much is taken from the largest
+    split (of equal ones the first) that has one to spare; otherwise test gets what is left."""
+    train, val = round(total * ratios[0]), round(total * ratios[1])
+    if total < 3 or min(ratios) <= 0:
+        return max(0, train), max(0, val), max(0, total - train - val)
+    sizes = [max(1, train), max(1, val)]
+    sizes.append(max(1, total - sum(sizes)))
+    while sum(sizes) > total:
+        sizes[max((0, 1, 2), key=lambda i: (sizes[i] > 1, sizes[i], -i))] -= 1
+    return tuple(sizes)
+
+
+def ratio_split(names: DataFrame, name: str, ratios: tuple[float, float, float], seed: int = 42) -> DataFrame:
+    """(name, split): names in the order of a seeded MD5, cut by split_counts. The order is the hash's, not a random generator's.
+    One row for each sequence reaches the window; their number alone goes to the driver."""
     w = W.partitionBy().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(name))), name)
-    r = names.select(name).distinct().withColumns({"i": F.row_number().over(w), "n": F.count("*").over(W.partitionBy())})
-    several = F.when(F.col("n") >= 3, 1).otherwise(0)
-    train = F.greatest(several, F.least(F.bround(F.col("n") * ratios[0]), F.col("n") - 2 * several))
-    val = F.greatest(several, F.least(F.bround(F.col("n") * ratios[1]), F.col("n") - train - several))
-    return r.select(name, F.when(F.col("i") <= train, "train").when(F.col("i") <= train + val, "val").otherwise("test").alias("split"))
+    r = names.select(name).distinct()
+    train, val, _ = split_counts(r.count(), ratios)
+    i = F.row_number().over(w)
+    return r.select(name, F.when(i <= train, "train").when(i <= train + val, "val").otherwise("test").alias("split"))
 
 
 def calls_per_1000(calls: Column, frames: Column) -> Column:

@@ -48,12 +48,19 @@ def semantic_hints(spark, d):
     return b.obs(spark, d).select("event_id", labels.hint(label, F.col("conf"), 0.65).alias("label"), labels.hint(F.lit("red"), F.col("conf"), 0.55).alias("colour"), labels.needs_focus(label, F.col("conf")).alias("focus"))
 
 
-@query("sanitize_output", """SELECT event_id, [0.0, 1.0, 0.0, 0.5][(event_id % 4)::INT + 1]::DOUBLE AS confidence, CASE WHEN event_id % 3 = 2 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'role' ELSE 'subtype' END AS fine_type,
-  CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE 0.75 END::DOUBLE AS fine_confidence, CASE WHEN event_id % 2 = 0 THEN '2,1' ELSE '2' END AS frames,
-  concat_ws(',', CASE WHEN event_id % 4 = 0 THEN 'bad_confidence' END, CASE WHEN event_id % 3 = 2 THEN 'unsupported_fine_type' END, CASE WHEN event_id % 2 = 0 THEN 'frames_not_allowed' END) AS warnings FROM events""")
+SAID = (["abc", "1.7", "-0.2", "0.5", "inf", None, " 0.25 "], ["role", "Make-Model", " Sub type", "odd", "MEDICAL", None], ["0.75", "1.2", "nan", None], [["2", "9", "1"], ["2", "2"], ["7", "x", "-1", "2"], []], [" Keeper ", "", None])
+
+
+@query("sanitize_output", f"""WITH said AS (SELECT event_id, {SAID[0]}[(event_id % 7)::INT + 1] AS c, {SAID[1]}[(event_id % 6)::INT + 1] AS kind, {SAID[2]}[(event_id % 4)::INT + 1] AS fc, {SAID[3]}[(event_id % 4)::INT + 1] AS f, {SAID[4]}[(event_id % 3)::INT + 1] AS l FROM events),
+num AS (SELECT *, coalesce(TRY_CAST(trim(c) AS DOUBLE), 'nan'::DOUBLE) AS x, coalesce(TRY_CAST(trim(fc) AS DOUBLE), 'nan'::DOUBLE) AS y, replace(replace(lower(trim(coalesce(kind, 'unknown'))), '-', '_'), ' ', '_') AS k, list_sort(list_distinct(list_filter(list_transform(f, lambda v: TRY_CAST(v AS BIGINT)), lambda v: v > 0))) AS n FROM said),
+held AS (SELECT *, CASE WHEN isfinite(x) THEN greatest(0, least(1, x)) ELSE 0 END::DOUBLE AS cx, CASE WHEN isfinite(y) THEN greatest(0, least(1, y)) ELSE 0 END::DOUBLE AS cy, list_contains({list(labels.FINE_TYPES)}, k) AS known, list_filter(n, lambda v: v IN (1, 2) OR event_id % 5 = 0) AS kept FROM num)
+SELECT event_id, cx AS confidence, CASE WHEN known AND trim(coalesce(l, 'unknown')) <> '' THEN trim(coalesce(l, 'unknown')) ELSE 'unknown' END AS fine_label, CASE WHEN known THEN k ELSE 'unknown' END AS fine_type, CASE WHEN known THEN cy ELSE 0.0 END::DOUBLE AS fine_confidence, array_to_string(kept, ',') AS frames,
+  concat_ws(',', CASE WHEN c IS NOT NULL AND cx IS DISTINCT FROM x THEN 'invalid_confidence_bounded:confidence' END, CASE WHEN fc IS NOT NULL AND cy IS DISTINCT FROM y THEN 'invalid_confidence_bounded:fine_confidence' END, CASE WHEN NOT known THEN 'unsupported_fine_label_type' END, CASE WHEN len(kept) < len(n) THEN 'unsupported_evidence_frames_removed' END) AS warnings FROM held""".replace("None", "NULL"))
 def sanitize_output(spark, d):
-    frames = F.when(number() % 2 == 0, F.array(F.lit(2), F.lit(9), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(2)))
-    made = labels.sanitized(pick(["abc", "1.7", "-0.2", "0.5"], number()), pick(["role", "subtype", "odd"], number()), F.lit("0.75"), frames, ["role", "subtype"], F.array(F.lit(1), F.lit(2)))
+    text = lambda i: pick(SAID[i], number())
+    frames = F.get(F.array(*[F.array(*[F.lit(v) for v in f]).cast("array<string>") for f in SAID[3]]), (number() % 4).cast("int"))
+    allowed = F.when(number() % 5 != 0, F.array(F.lit(1), F.lit(2)))
+    made = labels.sanitized(text(0), text(4), text(1), text(2), frames, allowed)
     out = b.table(spark, d, "events").select("event_id", *[c.alias(k) for k, c in made.items()])
     return out.withColumns({"frames": F.array_join(F.col("frames").cast("array<string>"), ","), "warnings": F.array_join("warnings", ",")})
 
@@ -110,9 +117,9 @@ def manifest_record(spark, d):
     return reports.manifest_record(e)
 
 
-@query("ratio_split", """WITH r AS (SELECT n_name, row_number() OVER (ORDER BY md5('42:' || n_name), n_name) AS i FROM nation) SELECT n_name, CASE WHEN i <= 18 THEN 'train' WHEN i <= 22 THEN 'val' ELSE 'test' END AS split FROM r""")
+@query("ratio_split", "WITH r AS (SELECT n_name, row_number() OVER (ORDER BY md5('42:' || n_name), n_name) AS i, count(*) OVER () AS n FROM nation) SELECT n_name, CASE WHEN i <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM r")
 def ratio_split(spark, d):
-    return reports.ratio_split(b.table(spark, d, "nation"), "n_name", (0.7, 0.15))
+    return reports.ratio_split(b.table(spark, d, "nation"), "n_name", (0.7, 0.15, 0.15))
 
 
 @query("efficiency_per_1000", sql(b.OBS, body="SELECT sequence, round(1000.0 * count(*) FILTER (event_id % 3 = 0) / count(DISTINCT frame), 6) AS calls FROM obs GROUP BY ALL"))

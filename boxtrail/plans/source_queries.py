@@ -52,12 +52,12 @@ def yolo_files(spark, d):
     return mot.yolo_labels(rows, images)
 
 
-@query("event_log_round_trip", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("event_log_round_trip", sql(b.OBS, body="SELECT event_id::VARCHAR AS event_id, sequence, track_id, class AS type, CASE WHEN conf < 0.5 THEN 'low' END AS severity, frame AS start, frame + 3 AS \"end\", frame AS trigger FROM obs"))
 def event_log_round_trip(spark, d):
     at = path(spark, "events")
-    b.table(spark, d, "events").select("event_id", "event_type").write.json(at)
-    again = spark.read.schema("event_id long, event_type string").json(at)
-    return again.groupBy("event_type").agg(F.count("*").alias("n"))
+    frame = F.col("frame")
+    mot.write_events(b.obs(spark, d).select(F.col("event_id").cast("string").alias("event_id"), "sequence", "track_id", F.col("class").alias("type"), F.when(F.col("conf") < 0.5, "low").alias("severity"), frame.alias("start"), (frame + 3).alias("end"), frame.alias("trigger")), at)
+    return mot.read_events(spark, at)
 
 
 @query("cached_values", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'v' || user_id END AS value FROM (SELECT DISTINCT user_id FROM events)")
