@@ -140,10 +140,28 @@ def test_op3_equals_brute_force(spark, monkeypatch, limit):
 
 def test_op3_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(r) for r in op3.decontaminate(docs_of(spark, ["a b"]), none).collect()] == [(0, 2, 0, 0, [], False)]
+    assert [tuple(r) for r in op3.decontaminate(docs_of(spark, ["a b"]), none).collect()] == [(0, 2, 0, 0, [], hashlib.sha256(b"").hexdigest(), False)]
     assert op3.decontaminate(docs_of(spark, []), none).count() == 0
 
 
+def test_op3_items_that_share_a_header(spark):
+    """Two thousand items begin with one passage, which a third of the texts have: the index has it once, and each text's row gets the items at the end."""
+    rng = random.Random(8)
+    head = prose(rng, 20, 5000)
+    items = [(f"i{i:05}", f"{head} {prose(rng, 30, 5000)}") for i in range(2000)]
+    texts = [f"{prose(rng, 20, 5000)} {head} {prose(rng, 20, 5000)}" if i % 3 == 0 else prose(rng, 60, 5000) for i in range(60)] + [items[7][1]]
+    prints, windows, members = op3.item_index(spark.createDataFrame(items, "item_id string, text string"), Scratch(spark))
+    assert windows.where(F.array_join("words", " ") == " ".join(head.split()[:13])).count() == 1 and members.where(F.size("ids") == 2000).count() == 1
+    got = {r.doc_id: r for r in op3.decontaminate(docs_of(spark, texts), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    for i, text in enumerate(texts):
+        if i % 3 == 0:
+            assert got[i].n_items == 2000 and got[i].items == [x for x, _ in items] and got[i].n_hit >= 20
+            assert got[i].items_sha256 == hashlib.sha256(",".join(got[i].items).encode()).hexdigest()
+        else:
+            assert got[i].n_items == 0
+    assert got[60].n_hit == 50
+
+
 def brute_op4(docs, k, threshold):
     sets = {}
     for n, (_, t) in enumerate(docs):
