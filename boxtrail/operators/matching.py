@@ -112,6 +112,25 @@ def greedy_match(gt: DataFrame, pred: DataFrame, least: float = 0.5, last_first:
     return _by_frame(slim, choose, MATCH)
 
 
+def proposal_matches(tracks: DataFrame, proposals: DataFrame, least: float = 0.35) -> DataFrame:
+    """One-to-one pairs of tracks (gt_) and labelled proposals (pred_) of a frame by falling overlap, the greater of IoU and the share of the smaller box that is covered; of
+    equal ones the pair of the last places first. A proposal with a list `compatible` goes to tracks of these classes only. Adds label, conf and weight, max(conf, 0.01) * overlap."""
+    place = lambda df: df if "pos" in df.columns else df.withColumn("pos", F.col("track_id"))
+    a = prefixed(place(tracks).select(*FRAME, "track_id", "pos", "class", *BOX), "gt")
+    b = prefixed(place(proposals).select(*FRAME, "track_id", "pos", "label", "conf", "compatible", *BOX), "pred")
+    first, second = box_of("gt"), box_of("pred")
+    size = lambda p: F.greatest(F.col(f"{p}_w") * F.col(f"{p}_h"), F.lit(1e-9))
+    overlap = F.least(F.lit(1.0), F.greatest(g.iou(first, second), g.intersection(first, second) / F.least(size("gt"), size("pred"))))
+    allowed = F.col("pred_compatible").isNull() | (F.size("pred_compatible") == 0) | F.array_contains("pred_compatible", F.col("gt_class"))
+    pairs = a.join(b, FRAME).where(allowed).withColumn("iou", overlap).where(F.col("iou") >= least)
+    slim = pairs.select(*FRAME, "gt_track_id", "gt_pos", "pred_track_id", "pred_pos", "iou", F.col("pred_label").alias("label"), F.col("pred_conf").alias("conf"))
+
+    def choose(f: pd.DataFrame) -> pd.DataFrame:
+        return f.iloc[greedy(list(zip(f.iou, f.gt_pos, f.pred_pos, strict=True)), True)]
+
+    return _by_frame(slim, choose, f"{MATCH}, label string, conf double").withColumn("weight", F.greatest("conf", F.lit(0.01)) * F.col("iou"))
+
+
 def hungarian_match(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs of least total (1 - IoU) over the whole frame; those under `least` are dropped afterwards."""
     gt, pred = _with_positions(gt, pred)

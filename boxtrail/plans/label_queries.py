@@ -8,7 +8,7 @@ from boxtrail.functions.scalars import cosine01, l2_normalized, parse_boxes, phr
 from boxtrail.operators import appearance, filters, fusion, matching, metrics, segments, switches, tracker, validate, vocabulary
 from boxtrail.plans import bridge as b
 from boxtrail.plans.catalog import query
-from boxtrail.plans.track_queries import GT_PAIRS, MATCHED, SWITCHES, dense, owned_matches, rounded, sql
+from boxtrail.plans.track_queries import GT_PAIRS, MATCHED, SWITCHES, owned_matches, rounded, sql
 
 WEIGHTED = """w AS (SELECT *, CASE WHEN source = 'locateanything' THEN 0.9 ELSE 1.0 END::DOUBLE AS sw, CASE WHEN source = 'locateanything' THEN 0.9 ELSE 1.0 END * pow(0.5, (max(frame) OVER (PARTITION BY sequence, track_id) - frame) / 900.0) AS weight FROM evidence),
 votes AS (SELECT sequence, track_id, label, sum(conf * weight) AS score, sum(weight) AS weight, sum(conf * sw) AS steady, count(*) AS n FROM w GROUP BY ALL),
@@ -367,21 +367,6 @@ def sort_tracker(spark, d):
     return rounded(tracker.sort_tracks(b.obs(spark, d), least_iou=0.2, max_age=3, min_hits=2), "x", "y", "w", "h")
 
 
-@query("class_stabilizer")
-def class_stabilizer(spark, d):
-    return tracker.stabilize(dense(spark, d))
-
-
-@query("routed_stabilizer")
-def routed_stabilizer(spark, d):
-    return tracker.stabilize(dense(spark, d), tracker.RecursiveVote)
-
-
-@query("proposal_store")
-def proposal_store(spark, d):
-    return tracker.stabilize(dense(spark, d), tracker.ProposalStore)
-
-
 @query("phrase_counts", "SELECT trim(regexp_replace(regexp_replace(lower(r_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS phrase, count(*) AS n FROM region GROUP BY ALL")
 def phrase_counts(spark, d):
     return b.table(spark, d, "region").groupBy(phrase(F.col("r_name"), False).alias("phrase")).agg(F.count("*").alias("n"))

@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxtrail.functions.salvage import predictions
-from boxtrail.operators import tracker
 from boxtrail.plans import bridge as b
 from boxtrail.plans.catalog import query
-from boxtrail.plans.track_queries import dense
 from boxtrail.streaming import live
 
 
@@ -41,11 +39,6 @@ def stream_of(spark: SparkSession, frame: DataFrame) -> DataFrame:
     return spark.readStream.schema(frame.schema).parquet(path)
 
 
-@query("stream_class_stabilizer")
-def stream_class_stabilizer(spark, d):
-    return drained(spark, live.stabilized_stream(stream_of(spark, dense(spark, d).select("sequence", "track_id", "frame", "class", "conf")), tracker.DecayVote))
-
-
 @query("stream_dedup_watermark", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_watermark(spark, d):
     rows = b.table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))

@@ -239,11 +239,6 @@ def greedy_match_language(spark, d):
     return rounded(matching.greedy_match(b.obs(spark, d), b.pred(spark, d), last_first=True), "iou")
 
 
-@query("hungarian_match")
-def hungarian_match(spark, d):
-    return rounded(matching.hungarian_match(b.obs(spark, d), b.pred(spark, d)), "iou")
-
-
 SWITCHES = """o AS (SELECT *, lag(pred_track_id) OVER g AS old_id, lag(frame) OVER g AS last, lag(gt_track_id) OVER p AS owner, lag(frame) OVER p AS owned FROM owned
   WINDOW g AS (PARTITION BY sequence, gt_track_id ORDER BY frame), p AS (PARTITION BY sequence, pred_track_id ORDER BY frame)),
 sw AS (SELECT sequence, frame, gt_track_id, old_id, pred_track_id AS new_id, frame - last - 1 AS gap, owner, owned FROM o WHERE old_id <> pred_track_id)"""
