@@ -152,7 +152,7 @@ def reacquire(events: DataFrame, targets: DataFrame, obs: DataFrame, policy: Pol
         free = ~_overlaps(F.col("first"), F.col("until"), F.col("track_id"), "segs")
         passed = (F.col("rows") >= p.least_rows) & (F.col("beside") == 0) & F.coalesce(gap <= p.farthest, F.lit(True)) & free
         known = p.temporal + p.history
-        score = F.when(motion.isNull(), (p.temporal * temporal + p.history) / known).otherwise((p.motion * motion + p.temporal * temporal + p.history) / (known + p.motion))
+        score = F.when(gap.isNull(), (p.temporal * temporal + p.history) / known).otherwise((p.motion * motion + p.temporal * temporal + p.history) / (known + p.motion))
         other = F.col("track_id") != F.col("raw")
         resumed = F.max(F.when(~other & (F.col("after_rows") >= p.least_rows), F.col("after_first")))
         best = F.slice(F.sort_array(F.collect_list(F.when(other & passed, F.struct((-F.round(score, 12)).alias("minus"), "first", "track_id")))), 1, 2)

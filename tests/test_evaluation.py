@@ -114,6 +114,14 @@ def test_reacquisition_follows_what_was_committed(spark):
     assert identity.reacquire(events.limit(0), targets, boxes(spark, rows)).count() == 0
 
 
+def test_reacquisition_scores_without_motion_when_the_held_track_was_not_seen_before(spark):
+    rows = [(2, f, 1) for f in range(25, 31)]
+    events = spark.createDataFrame([("s", 1, 1, "a", 21, 22, 21)], "sequence string, target long, n long, event string, start long, stop long, trigger long")
+    targets = spark.createDataFrame([("s", 1, 9, 20)], "sequence string, target long, raw long, frame long")
+    got = identity.reacquire(events, targets, boxes(spark, rows), identity.Policy(after=10)).first()
+    assert (got.status, got.selected) == ("provisional", 2) and got.score == pytest.approx((0.15 * (1 - 5 / 12) + 0.1) / 0.25)
+
+
 @pytest.mark.parametrize("total,ratios,sizes", [(6, (0.45, 0.45, 0.1), (2, 3, 1)), (4, (0.8, 0.2, 0.0), (3, 1, 0)), (3, (0.9, 0.05, 0.05), (1, 1, 1)), (2, (0.5, 0.25, 0.25), (1, 0, 1)), (0, (0.7, 0.2, 0.1), (0, 0, 0)), (25, (0.7, 0.15, 0.15), (18, 4, 3))])
 def test_split_counts(total, ratios, sizes):
     assert reports.split_counts(total, ratios) == sizes
