@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from boxtrail.functions import geometry as g
+from boxtrail.operators import scenes
 
 KEY = ["sequence", "track_id"]
 
@@ -85,24 +86,13 @@ def spaced_top(rows: DataFrame, quality: str, k: int, gap: int) -> DataFrame:
     return rows.select(*KEY, "frame", quality).groupBy(*KEY).applyInPandas(pick, f"sequence string, track_id long, frame long, {quality} double, place long")
 
 
-def shot_starts(frames: list[int], scores: list[float], threshold: float, gap: int) -> list[bool]:
-    """Frames that start a shot: the score is enough and the last start lies `gap` frames back."""
-    out, last = [], None
-    for f, s in zip(frames, scores, strict=True):
-        ok = last is None or (s >= threshold and f - last >= gap)
-        out.append(ok)
-        last = f if ok else last
-    return out
-
-
 def shots(rows: DataFrame, score: str, threshold: float, gap: int) -> DataFrame:
-    """Adds shot (from 1) to the frames of each sequence. Which frame starts a shot depends on the one accepted before, so a sequence is folded in order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(shot=pd.Series(shot_starts(pdf.frame.tolist(), pdf[score].tolist(), threshold, gap), index=pdf.index).cumsum())
-
-    return rows.select("sequence", "frame", score).groupBy("sequence").applyInPandas(fold, f"sequence string, frame long, {score} double, shot long")
+    """Adds shot (from 1) to the frames of each sequence (one row each): a shot starts with the first frame and with each whose score is enough, at least `gap` after the start before."""
+    first = rows.groupBy("sequence").agg(F.min("frame").alias("frame"))
+    starts = scenes.spaced(first.unionByName(rows.where(F.col(score) >= threshold).select("sequence", "frame")), gap)
+    both = rows.select("sequence", "frame", score, F.lit(0).alias("start")).unionByName(starts.withColumn("start", F.lit(1)), allowMissingColumns=True)
+    marked = both.groupBy("sequence", "frame").agg(F.max(score).alias(score), F.max("start").alias("start"))
+    return marked.select("sequence", "frame", score, F.sum("start").over(W.partitionBy("sequence").orderBy("frame")).alias("shot"))
 
 
 def next_fit(sizes: list[int], most_items: int, capacity: int) -> list[int | None]:

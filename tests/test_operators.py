@@ -180,7 +180,6 @@ def test_salvage_of_predictions():
 
 def test_sampling_folds():
     assert filters.next_fit([3, 3, 0, 5, 1], 2, 6) == [0, 0, None, 1, 1]
-    assert filters.shot_starts([1, 5, 30, 40, 60], [0, 0.9, 0.9, 0.9, 0.1], 0.65, 15) == [True, False, True, False, False]
     assert filters.spaced([1, 2, 50], [0.9, 0.8, 0.1], 2, 10) == [0, 2]
     assert filters.spaced([1, 2, 3], [0.9, 0.8, 0.1], 2, 10) == [0, 1]
 
