@@ -122,12 +122,15 @@ def mask_boxes(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            found = []
             for r in pdf.itertuples():
                 try:
-                    b = tight_boxes(decode(bytes(r.content)))
+                    found.append(tight_boxes(decode(bytes(r.content))))
                 except (ValueError, KeyError, TypeError, struct.error, zlib.error) as bad:
                     raise ValueError(f"unreadable mask {r.path}: {bad}") from bad
-                yield pd.DataFrame({"sequence": r.sequence, "frame": r.frame, "track_id": b[:, 0], "x": b[:, 1], "y": b[:, 2], "w": b[:, 3], "h": b[:, 4]})
+            if found:
+                n, b = [len(f) for f in found], np.concatenate(found)
+                yield pd.DataFrame({"sequence": np.repeat(pdf.sequence.to_numpy(), n), "frame": np.repeat(pdf.frame.to_numpy(), n), "track_id": b[:, 0], "x": b[:, 1], "y": b[:, 2], "w": b[:, 3], "h": b[:, 4]})
 
     return rows.mapInPandas(run, BOXES)
 
