@@ -9,6 +9,8 @@ from the ids of their words; decoding joins ids to the vocabulary and aggregates
 from __future__ import annotations
 
 import base64
+import os
+import uuid
 from collections.abc import Iterator
 
 import duckdb
@@ -83,7 +85,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.cache: dict[str, bytes] = {}
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        # what doesn't fit goes to the executor's own folder, which Spark deletes; outside of a task there is none
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill and f"{spill}/words-{uuid.uuid4().hex}"})
         tokens = list(ranks)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.early = {x for l, r, m in merges for x in (l, r) if m < x}  # tokens of which some pair has a lower rank than they

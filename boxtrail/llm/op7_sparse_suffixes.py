@@ -5,7 +5,7 @@ selects, so that any two copies of a passage of MIN_WORDS words keep a suffix at
 all texts are sorted by their words, in blocks of k; one that starts with the same k words as a neighbour is a seed. Seeds are extended left and right to all
 windows of MIN_WORDS words of which they are the minimiser. A suffix array knows for a suffix which other has most words to its right in common,
 but the one that also has those to its left may lie anywhere among the rows with the same start; so the extended
-windows are compared by their hashes, and those that occur more than once make up the repeated passages.
+windows are compared by their hashes of 128 bits, and those that occur more than once make up the repeated passages.
 """
 
 from __future__ import annotations
@@ -26,6 +26,16 @@ BLOCKS = 3  # blocks of GRAM words by which suffixes are sorted
 POSITION = np.uint64((1 << 30) - 1)  # low bits of a packed k-gram: its position from the end; a text of 2 GB has no more words
 
 
+class SecondHashes(WordHashes):
+    """Hashes that don't depend on the first ones, so that two of a window make 128 bits."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word, 1)
+        return value
+
+
 def text_key(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest((text or "").encode())
 
@@ -108,11 +118,11 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(min_words: int):
-    """Hashes of the windows whose own minimiser is a seed."""
+    """Hashes of the windows whose own minimiser is a seed: two of 64 bits, from different hashes of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        names, kinds = ["window", "doc_id", "text_key", "start"], [pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        hashes, others = WordHashes(), SecondHashes()
+        names = ["window", "second", "doc_id", "text_key", "start"]
         for batch in batches:
             for doc_id, key, seeds, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 text = text.as_py()
@@ -121,25 +131,20 @@ def _windows(min_words: int):
                 words = word_hashes(text, hashes)
                 at, _ = minimisers(words, min_words)
                 start = np.flatnonzero(np.isin(at, np.array(seeds.as_py())))
-                full = gram_hashes(words, min_words)[start].view(np.int64)
                 n = len(start)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([doc_id] * n, kinds[1]), pa.array([key] * n, kinds[2]), pa.array(start.astype(np.int32))], names)
+                    both = [pa.array(gram_hashes(w, min_words)[start].view(np.int64)) for w in (words, word_hashes(text, others))]
+                    yield pa.RecordBatch.from_arrays([*both, pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array(start.astype(np.int32))], names)
 
     return run
 
 
 def _spans(starts, min_words: int):
-    """Merged [start, end) spans of sorted windows, as an array of structs."""
-    fold = F.aggregate(
-        starts,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), (s + min_words).cast("int").alias("end")))),
-        ).otherwise(F.concat(done, F.array(F.struct(s.cast("int").alias("start"), (s + min_words).cast("int").alias("end"))))),
-    )
-    return fold
+    """Merged [start, end) spans of sorted windows, as an array of structs. A span opens and closes where the next window is no neighbour, so that long arrays cost
+    no more for each window than short ones."""
+    opens = F.filter(starts, lambda s, i: (i == 0) | (s - F.get(starts, i - 1) > min_words))
+    closes = F.filter(starts, lambda s, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) - s > min_words))
+    return F.zip_with(opens, closes, lambda a, z: F.struct(a.cast("int").alias("start"), (z + min_words).cast("int").alias("end")))
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -163,12 +168,12 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
     scratch.drop("rows")
 
     # a text is fetched by its least id and hash; equal rows of one id give their windows each, but such copies are repeated whole anyway
-    found = slim.join(seeds, slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, doc_id long, text_key binary, start int")
+    found = slim.join(seeds, slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, second long, doc_id long, text_key binary, start int")
     windows = scratch.save(found, "windows")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
     # written first, so that the join below may split a common window's rows
-    repeated = scratch.save(windows.groupBy("window").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "repeated")
-    marked = windows.join(repeated, "window").groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(first != F.col("first"), F.col("start")))).alias("again"))
+    repeated = scratch.save(windows.groupBy("window", "second").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "repeated")
+    marked = windows.join(repeated, ["window", "second"]).groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(first != F.col("first"), F.col("start")))).alias("again"))
     both = classes.where("copies > 1").select("text_key", "n_words").join(marked, "text_key", "full")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     marks = both.select("text_key", F.when(F.col("n_words").isNotNull(), whole).otherwise(_spans(F.col("starts"), min_words)).alias("spans"), F.coalesce(_spans(F.col("again"), min_words), F.array().cast("array<struct<start:int,end:int>>")).alias("later"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -493,3 +495,41 @@ def test_hash_of_ids_is_as_the_contract_says(spark, tmp_path):
     docs_of(spark, ["hello world", None]).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op2.op2_byte_bpe(spark, str(tmp_path)).collect()}
     assert got[1].ids_sha256 == hashlib.sha256(b"").hexdigest() and got[0].decoded_sha256 == hashlib.sha256(b"hello world").hexdigest() and got[0].n_tokens == 2
+
+
+def test_op7_spans_of_many_windows(spark):
+    rng = random.Random(3)
+    starts = [sorted(rng.sample(range(9000), n)) for n in (0, 1, 2, 40, 300)] + [[61 * i for i in range(30_000)], [50 * i for i in range(1000)]]
+
+    def merged(row):
+        out = []
+        for s in row:
+            if out and out[-1][1] >= s:
+                out[-1] = (out[-1][0], s + 50)
+            else:
+                out.append((s, s + 50))
+        return out
+
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(starts)] + [(-1, None)], "id int, starts array<int>").select("id", op7._spans(F.col("starts"), 50).alias("spans")).collect()
+    got = {r.id: r.spans for r in rows}
+    assert got.pop(-1) is None
+    assert {i: [tuple(s) for s in spans] for i, spans in got.items()} == {i: merged(s) for i, s in enumerate(starts)}
+
+
+def test_op7_windows_with_equal_first_hashes_stay_apart(monkeypatch):
+    # words of one length share their first hash; the second one still tells the passages apart
+    monkeypatch.setattr(op7.WordHashes, "__missing__", lambda self, word: 7 + len(word))
+    texts = [" ".join(f"{c}{i:02d}" for i in range(50)) for c in "aba"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(map(op7.text_key, texts)), pa.array([list(range(50))] * 3), pa.array(texts)], ["doc_id", "text_key", "seeds", "text"])
+    a, b, c = pa.Table.from_batches(op7._windows(50)(iter([batch]))).to_pylist()
+    assert a["window"] == b["window"] == c["window"] and a["second"] == c["second"] != b["second"]
+
+
+def test_op2_spills_where_spark_does(spark):
+    def where(batches):
+        codec = op2.Codec({bytes([b]): b for b in range(256)}, r"[^ ]+")
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.environ["SPARK_LOCAL_DIRS"].split(",")[0]]), pa.array([codec.con.execute("SELECT current_setting('temp_directory')").fetchone()[0]])], ["own", "used"])
+
+    row = spark.range(1).mapInArrow(where, "own string, used string").first()
+    assert row.own and row.used.startswith(row.own)
