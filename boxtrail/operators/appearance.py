@@ -8,6 +8,25 @@ from pyspark.sql.window import Window as W
 
 from boxtrail.functions.scalars import cosine01, is_embedding, l2_normalized
 
+#: Numbers in all vectors of a side up to which it is broadcast, 32 MB.
+SENT = 4_000_000
+#: Vectors of a block, where a side is not broadcast.
+BLOCK = 1024
+
+
+def against(rows: DataFrame, key: str, vectors: DataFrame, vector: str) -> DataFrame:
+    """Each row beside each of vectors (label, vector, ...). Few vectors, by a count of their numbers, are broadcast; more are cut into blocks, as are the rows, and meet by a join on both
+    numbers of blocks, so that no task has more than a block of either for a key. Blocks go by hashes of key and label, which a repeated task finds again."""
+    n, width = vectors.agg(F.count("*"), F.max(F.size(vector))).first()
+    if n * (width or 1) <= SENT:
+        return rows.join(F.broadcast(vectors), F.lit(True))
+    parts = -(-n // BLOCK)
+    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("_part", every(parts))
+    right = vectors.withColumn("_part", F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")).withColumn("_salt", every(salts))
+    return left.join(right, ["_part", "_salt"]).drop("_part", "_salt")
+
 
 def mean_vectors(rows: DataFrame, by: str, vector: str = "embedding", weight: str | None = None) -> DataFrame:
     """Element-wise (weighted) mean vectors and counts; invalid vectors are left out. Positions are aggregated, so no group is gathered whole."""
@@ -22,8 +41,8 @@ def prototypes(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame
 
 
 def cosine_topk(queries: DataFrame, prototypes: DataFrame, k: int) -> DataFrame:
-    """The k prototypes most alike for each query (query, embedding); prototypes (label, prototype) are a small dimension table."""
-    s = queries.join(F.broadcast(prototypes.select("label", "prototype")), F.lit(True)).select("query", "label", F.round(cosine01(F.col("embedding"), F.col("prototype")), 9).alias("score"))
+    """The k prototypes (label, prototype) most alike for each query (query, embedding). Each task keeps its k best of a query before they meet."""
+    s = against(queries.select("query", "embedding"), "query", prototypes.select("label", "prototype"), "prototype").select("query", "label", F.round(cosine01(F.col("embedding"), F.col("prototype")), 9).alias("score"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "label"))
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -41,7 +60,7 @@ def nearest_prototype(rows: DataFrame, means: DataFrame, key: str, own: str | No
     """The label of the nearest mean vector by Euclidean distance, and sigmoid(6 * margin to the second). own: a column with each row's label, which is then left
     out of that label's mean; labels of a single sample are skipped."""
     m = means.select("label", "mean", "n")
-    pairs = rows.join(F.broadcast(m), F.lit(True))
+    pairs = against(rows.select(key, vector, *([] if own is None else [own])), key, m, "mean")
     centre = F.col("mean")
     if own is not None:
         mine = F.col(own) == F.col("label")
@@ -50,7 +69,6 @@ def nearest_prototype(rows: DataFrame, means: DataFrame, key: str, own: str | No
         centre = F.when(mine, left_out).otherwise(centre)
     gap = F.aggregate(F.zip_with(centre, F.col(vector), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     near = pairs.select(key, "label", F.round(F.sqrt(gap), 9).alias("distance"))
-    two = F.array_sort(F.collect_list(F.struct("distance", "label")))
-    best = near.groupBy(key).agg(two.alias("r"))
-    margin = F.get("r", F.lit(1))["distance"] - F.get("r", F.lit(0))["distance"]
-    return best.select(key, F.get("r", F.lit(0))["label"].alias("label"), F.get("r", F.lit(0))["distance"].alias("distance"), F.round(1 / (1 + F.exp(-6 * F.coalesce(margin, F.lit(0.0)))), 9).alias("confidence"))
+    near = near.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("distance", "label"))).where("_n <= 2")
+    best = near.groupBy(key).agg(F.min(F.struct("_n", "label", "distance")).alias("r"), (F.max("distance") - F.min("distance")).alias("margin"))
+    return best.select(key, "r.label", "r.distance", F.round(1 / (1 + F.exp(-6 * F.col("margin"))), 9).alias("confidence"))

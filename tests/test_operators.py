@@ -233,3 +233,20 @@ def test_colours_at_their_bounds(spark):
     cases = [(23, 100, 100, "yellow"), (21, 100, 100, "brown"), (21, 100, 145, "orange"), (24, 100, 200, "yellow"), (9, 48, 25, "red"), (170, 48, 25, "red"), (150, 200, 200, None), (0, 47, 24, None), (0, 47, 67, "black"), (0, 47, 68, "gray"), (0, 47, 132, "silver"), (0, 47, 205, "white"), (84, 48, 99, "green"), (139, 48, 99, "blue")]
     rows = spark.createDataFrame([c[:3] for c in cases], "h int, s int, v int").withColumn("c", decisions.colour())
     assert {(r.h, r.s, r.v, r.c) for r in rows.collect()} == set(cases)
+
+
+def test_many_prototypes_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(9), [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    e = spark.createDataFrame(rows, "id long, label long, embedding array<double>")
+    results = lambda: (
+        sorted(appearance.cosine_topk(e.select(F.col("id").alias("query"), "embedding"), appearance.prototypes(e, "label"), 2).collect()),
+        sorted(appearance.nearest_prototype(e, appearance.mean_vectors(e, "label"), "id").collect()),
+        sorted(appearance.nearest_prototype(e.withColumnRenamed("label", "own"), appearance.mean_vectors(e, "label"), "id", own="own").collect()),
+    )
+    sent = results()
+    monkeypatch.setattr(appearance, "SENT", 0)
+    monkeypatch.setattr(appearance, "BLOCK", 4)
+    assert results() == sent and len(sent[0]) == 120 and len(sent[1]) == len(sent[2]) == 60
+    plan = appearance.against(e.select("id"), "id", appearance.mean_vectors(e, "label"), "mean")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
