@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = [n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
