@@ -35,7 +35,7 @@ SLICE = 3_000_000  # characters handled at once
 
 
 class PackedWords(WordHashes):
-    """64-bit word hashes whose low bits are the word's ending."""
+    """Word hashes: 55 bits of the word's own, the low 9 its ending."""
 
     LIMIT = 400_000  # about 80 MB
 
@@ -261,7 +261,7 @@ def score_texts(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     docs needs doc_id, held_out and text, train_on text; other columns are ignored. Tokens are the words between ASCII white space, A-Z as a-z, and one end
     per text. base_score is the log10 probability of the text by single tokens with ADD added to each count, score that of the model, which
     sums to one over the known tokens and an unseen one per class. A null or empty text is an end alone. Repeated rows are scored alike and, in train_on, count as often as they occur; an
-    empty train_on makes all tokens unseen; an empty table gives no rows. Token identity is a 64-bit hash.
+    empty train_on makes all tokens unseen; an empty table gives no rows. Token identity is 55 bits of a hash, beside the ending.
 
     What tasks get is of fixed size: weights and HOT counts. Counts of all other words are joined by a shuffle.
     """
