@@ -250,3 +250,29 @@ def test_many_prototypes_meet_in_blocks(spark, monkeypatch):
     assert results() == sent and len(sent[0]) == 120 and len(sent[1]) == len(sent[2]) == 60
     plan = appearance.against(e.select("id"), "id", appearance.mean_vectors(e, "label"), "mean")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def copied(spark, seed, n, first):
+    """Boxes with few different places, so that a frame holds many copies."""
+    r = np.random.default_rng(seed)
+    rows = [("s", int(f), first + i, "ab"[i % 2], float(i % 7) / 7, float(10 * r.integers(0, 4)), float(8 * r.integers(0, 3)), float(20 + 10 * r.integers(0, 2)), 25.0) for f in range(3) for i in range(n)]
+    return spark.createDataFrame(rows, "sequence string, frame long, track_id long, class string, conf double, x double, y double, w double, h double"), rows
+
+
+def overlap(a, b):
+    w = min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])
+    h = min(a[6] + a[8], b[6] + b[8]) - max(a[6], b[6])
+    i = max(0.0, w) * max(0.0, h)
+    return i / (a[7] * a[8] + b[7] * b[8] - i)
+
+
+def test_copies_of_a_box_are_compared_once(spark):
+    (gt, g), (pred, p) = copied(spark, 1, 60, 0), copied(spark, 2, 50, 100)
+    assert matching.distinct_boxes(gt, "gt").count() == len({(r[1], *r[5:]) for r in g}) <= 3 * 24
+    want = {(a[1], a[2], b[2]): overlap(a, b) for a in g for b in p if a[1] == b[1] and overlap(a, b) >= 0.3}
+    got = {(r.frame, r.gt_track_id, r.pred_track_id): r.iou for r in matching.iou_pairs(gt, pred, 0.3).collect()}
+    assert got == want
+    best = {(r.frame, r.pred_track_id): (r.gt_track_id, r.iou) for r in matching.error_analysis(gt, pred).collect()}
+    for b in p:
+        iou, track = min((-overlap(a, b), a[2]) for a in g if a[1] == b[1])
+        assert best[b[1], b[2]] == (track, -iou)
