@@ -74,7 +74,12 @@ def identity_scoped(pairs: DataFrame, expected: Column, least: float = 0.35, mar
     """
     best = lambda test: F.max(F.when(test, F.struct("score", -F.col("track"))))
     s = pairs.groupBy("sequence", "frame", "box").agg(best(expected).alias("t"), best(~expected).alias("o"))
-    score, lead = F.col("t.score"), F.col("t.score") - F.coalesce(F.col("o.score"), F.lit(0.0))
+    return scoped(s.select("sequence", "frame", "box", F.col("t.score").alias("score"), F.col("o.score").alias("other")), least, margin)
+
+
+def scoped(s: DataFrame, least: float = 0.35, margin: float = 0.05) -> DataFrame:
+    """identity_scoped from each box's best expected score and the best other, as in matching.scoped_scores."""
+    score, lead = F.col("score"), F.col("score") - F.coalesce(F.col("other"), F.lit(0.0))
     reason = F.when(score.isNull(), "not_identity_scoped").when(score < least, "insufficient_target_overlap").when(lead < margin, "insufficient_identity_margin")
     return s.select("sequence", "frame", "box", score.alias("score"), lead.alias("lead"), reason.alias("reason"))
 

@@ -276,3 +276,41 @@ def test_copies_of_a_box_are_compared_once(spark):
     for b in p:
         iou, track = min((-overlap(a, b), a[2]) for a in g if a[1] == b[1])
         assert best[b[1], b[2]] == (track, -iou)
+
+
+def test_groups_of_copies_are_matched_as_their_rows(spark):
+    (gt, g), (pred, p) = copied(spark, 3, 40, 0), copied(spark, 4, 35, 100)
+    for last_first in (False, True):
+        want = set()
+        for f in range(3):
+            rows = [(overlap(a, b), a[2], b[2]) for a in g for b in p if a[1] == b[1] == f and overlap(a, b) >= 0.4]
+            want |= {(f, rows[i][1], rows[i][2]) for i in matching.greedy(rows, last_first)}
+        assert {(r.frame, r.gt_track_id, r.pred_track_id) for r in matching.greedy_match(gt, pred, 0.4, last_first).collect()} == want
+    links = [(1.0, 0, 0), (1.0, 0, 1), (1.0, 1, 0), (0.5, 1, 1)]  # three and one of a place meet two places of two
+    assert [(i, a[0], b[0]) for i, a, b in matching.greedy_groups(links, {0: [(1,), (3,), (5,)], 1: [(2,)]}, {0: [(7,), (8,)], 1: [(6,), (9,)]})] == [(1.0, 1, 6), (1.0, 2, 7), (1.0, 3, 8), (1.0, 5, 9)]
+
+
+def test_proposals_of_equal_boxes_keep_their_labels(spark):
+    (gt, g), (pred, p) = copied(spark, 5, 30, 0), copied(spark, 6, 30, 100)
+    proposals = pred.select("sequence", "frame", "track_id", F.concat("class", F.col("track_id").cast("string")).alias("label"), "conf", F.when(F.col("track_id") % 3 > 0, F.array("class")).alias("compatible"), "x", "y", "w", "h")
+    by = {(b[1], b[2]): b for b in p}
+    rows = matching.proposal_matches(gt, proposals).collect()
+    assert rows
+    for r in rows:
+        b = by[r.frame, r.pred_track_id]
+        assert (r.label, r.conf) == (f"{b[3]}{b[2]}", b[4]) and (b[2] % 3 == 0 or "ab"[r.gt_track_id % 2] == b[3])
+
+
+def test_counts_and_summaries_of_copies(spark):
+    (gt, g), (pred, p) = copied(spark, 7, 30, 0), copied(spark, 8, 30, 100)
+    centre = lambda a: (a[5] + a[7] / 2, a[6] + a[8] / 2)
+    near = {(a[1], a[2]): sum(b[2] != a[2] and b[1] == a[1] and np.hypot(centre(a)[0] - centre(b)[0], centre(a)[1] - centre(b)[1]) <= max(a[7], a[8]) for b in g) for a in g}
+    assert {(r.frame, r.track_id): r.nearby for r in matching.nearby_count(gt, 1.0).collect()} == near
+    pairs = matching.grounding_candidates(gt, pred)
+    want = matching.resolve(pairs)
+    key = lambda df: sorted((r.frame, r.box, r.track, r.score, r.margin, r.status) for r in df.collect())
+    assert repr(key(matching.settled(matching.grounding_summary(gt, pred)))) == repr(key(want))
+    for modulus in (7, 40):
+        owner = lambda c: F.floor(F.col(c) % modulus)  # noqa: E731, B023
+        whole = decisions.identity_scoped(pairs, owner("track") == F.col("box"))
+        assert sorted(map(repr, decisions.scoped(matching.scoped_scores(gt, pred, owner("track_id"))).collect())) == sorted(map(repr, whole.collect()))
