@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +72,13 @@ def uncertainty(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def cooldown(triggers: list[tuple[int, bool]], frames: int) -> list[bool]:
     """Which triggers (frame, critical), in order of priority, are accepted: none within `frames` of an accepted one, but critical ones always."""
-    taken, out = [], []
+    taken, out = [], []  # the different accepted frames in order: only the neighbours of a trigger can be too near
     for at, critical in triggers:
-        ok = critical or all(abs(at - t) >= frames for t in taken)
+        i = bisect.bisect_left(taken, at)
+        ok = critical or all(abs(at - t) >= frames for t in taken[max(i - 1, 0) : i + 1])
         out.append(ok)
-        if ok:
-            taken.append(at)
+        if ok and taken[i : i + 1] != [at]:
+            taken.insert(i, at)
     return out
 
 

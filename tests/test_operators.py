@@ -314,3 +314,23 @@ def test_counts_and_summaries_of_copies(spark):
         owner = lambda c: F.floor(F.col(c) % modulus)  # noqa: E731, B023
         whole = decisions.identity_scoped(pairs, owner("track") == F.col("box"))
         assert sorted(map(repr, decisions.scoped(matching.scoped_scores(gt, pred, owner("track_id"))).collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_cooldown_looks_at_the_nearest_only():
+    r = random.Random(5)
+    for _ in range(50):
+        rows, frames, taken, want = [(r.randrange(60), r.random() < 0.2) for _ in range(40)], r.randrange(12), [], []
+        for at, critical in rows:
+            want.append(critical or all(abs(at - t) >= frames for t in taken))
+            taken += [at] * want[-1]
+        assert signals.cooldown(rows, frames) == want
+
+    class Frame(int):
+        seen = 0
+
+        def __sub__(self, other):
+            Frame.seen += 1
+            return int(self) - other
+
+    signals.cooldown([(Frame(10 * i), True) for i in range(300)] + [(Frame(10 * i + 5), False) for i in range(300)], 3)
+    assert Frame.seen <= 2 * 600
