@@ -122,6 +122,18 @@ def test_reacquisition_scores_without_motion_when_the_held_track_was_not_seen_be
     assert (got.status, got.selected) == ("provisional", 2) and got.score == pytest.approx((0.15 * (1 - 5 / 12) + 0.1) / 0.25)
 
 
+def test_equal_tracks_and_windows_are_looked_at_once_by_reacquisition(spark):
+    rows = [(t, f, 0) for t in range(1, 301) for f in (1, 2)] + [(t, f, 1) for t in range(301, 601) for f in (40, 41, 60)]
+    obs = boxes(spark, rows)
+    placed = obs.select("sequence", "track_id", F.col("frame").cast("long").alias("frame"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    places = identity._places(placed, identity.Policy(), 20)
+    assert sorted((r.frame, r.n, len(r.tracks)) for r in places.collect()) == [(1, 300, 3), (2, 300, 3), (40, 300, 3), (41, 300, 3), (60, 300, 3)]
+    events = spark.createDataFrame([("s", t, 1, str(t), 3, 4, 3) for t in range(1, 301)], "sequence string, target long, n long, event string, start long, stop long, trigger long")
+    targets = spark.createDataFrame([("s", t, t, 2) for t in range(1, 301)], "sequence string, target long, raw long, frame long")
+    got = identity.reacquire(events, targets, obs, identity.Policy(after=60)).select("status", "candidates", "passed", "margin").distinct().collect()
+    assert [tuple(r) for r in got] == [("ambiguous", 599, 300, 0.0)]  # the 299 others that were seen beside a lost one do not pass
+
+
 @pytest.mark.parametrize("total,ratios,sizes", [(6, (0.45, 0.45, 0.1), (2, 3, 1)), (4, (0.8, 0.2, 0.0), (3, 1, 0)), (3, (0.9, 0.05, 0.05), (1, 1, 1)), (2, (0.5, 0.25, 0.25), (1, 0, 1)), (0, (0.7, 0.2, 0.1), (0, 0, 0)), (25, (0.7, 0.15, 0.15), (18, 4, 3))])
 def test_split_counts(total, ratios, sizes):
     assert reports.split_counts(total, ratios) == sizes
