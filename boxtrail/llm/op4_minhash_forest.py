@@ -178,8 +178,9 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _rarest(counts: np.ndarray, threshold: int):
-    """Of each set its rarest shingles: a partner of at most its size that reaches the threshold has one of them among its own short ones."""
+def _rarest(counts: np.ndarray, mixed: np.ndarray, threshold: int):
+    """Of each set its rarest shingles: a partner of at most its size that reaches the threshold has one of them among its own short ones. Shingles of buckets
+    that are not mixed, of one set or of sets of one root, can't bring two roots together and are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["s", "cid", "root", "n", "at", "short", *(f"p{i}" for i in range(PARITY))], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
@@ -190,6 +191,10 @@ def _rarest(counts: np.ndarray, threshold: int):
                 s = s[np.lexsort((s, counts[s & (BUCKETS - 1)]))][: n + 1 - -(-threshold * n // 100)]
                 at = np.arange(len(s), dtype=np.int32)
                 short = at < n + 1 - -(-2 * threshold * n // (100 + threshold))
+                live = mixed[s & (BUCKETS - 1)]
+                if not live.any():
+                    continue
+                s, at, short = s[live], at[live], short[live]
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array([cid] * len(s), kinds[1]), pa.array([root] * len(s), kinds[2]), pa.array(np.full(len(s), n, np.int64)), pa.array(at), pa.array(short), *(pa.array(np.full(len(s), p)) for p in bits)], names)
 
     return run
@@ -199,10 +204,11 @@ def _exact_pairs(big: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(a, b, ra, rb) with a < b: all pairs of big (cid, root, members) that can reach the threshold and have two roots. Two sets that reach it
     share one of the rarest shingles of each (Xiao et al. 2008), by any one order; after the first of those enough others must be left, and their
     parity bitmaps (Sandes et al. 2020) may differ in no more bits than the sets in members."""
-    seen = big.select(F.explode("members").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n")).where("n > 1").toArrow()
-    counts = np.zeros(BUCKETS, np.int32)
+    seen = big.select("root", F.explode("members").alias("s")).groupBy(F.col("s").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("n > 1").toArrow()
+    counts, mixed = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, bool)
     counts[seen["bucket"].to_numpy()] = np.minimum(seen["n"].to_numpy(), 2**31 - 1)
-    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, threshold), "s long, cid long, root long, n long, at int, short boolean, " + ", ".join(f"p{i} long" for i in range(PARITY))), "rare")
+    mixed[seen["bucket"].to_numpy()] = seen["mixed"].to_numpy()
+    rare = scratch.save(big.select("cid", "root", "members").mapInArrow(_rarest(counts, mixed, threshold), "s long, cid long, root long, n long, at int, short boolean, " + ", ".join(f"p{i} long" for i in range(PARITY))), "rare")
     used = rare.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.bool_or("short").alias("any"))
     used = used.where("lo <> hi and any").select("s", F.ceil(F.col("rows") / SALT).cast("int").alias("blocks"))
     rare = scratch.save(rare.join(used, "s"), "shared")

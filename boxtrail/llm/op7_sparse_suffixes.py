@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,26 @@ def _windows(min_words: int):
     return run
 
 
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted windows those that occur more than once; again where it isn't the first place of the window. The first row of the last window is carried over."""
+    tail, told = None, False
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        batch = batch if tail is None else pa.concat_batches([tail, batch])
+        one, two = (batch.column(i).to_numpy() for i in (0, 1))
+        opens = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        at, run = np.flatnonzero(opens), np.cumsum(opens) - 1
+        sizes = np.diff([*at, len(one)])
+        chosen = np.flatnonzero(sizes[run] > 1)
+        chosen = chosen[chosen > 0] if told else chosen
+        here, first = pa.array(chosen), pa.array(at[run[chosen]])
+        pairs = [(batch.column(i).take(here), batch.column(i).take(first)) for i in (2, 3)]
+        again = pc.or_(*(pc.not_equal(x, y) for x, y in pairs))
+        yield pa.RecordBatch.from_arrays([pairs[0][0], pairs[1][0], again], ["text_key", "start", "again"])
+        tail, told = batch.slice(int(at[-1]), 1), bool(sizes[-1] > 1)
+
+
 def _spans(starts, min_words: int):
     """Merged [start, end) spans of sorted windows, as an array of structs. A span opens and closes where the next window is no neighbour, so that long arrays cost
     no more for each window than short ones."""
@@ -169,16 +190,16 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
 
     # a text is fetched by its least id and hash; equal rows of one id give their windows each, but such copies are repeated whole anyway
     found = slim.join(seeds, slim.doc_id.eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash"))).select("doc_id", "text_key", "seeds", "text").mapInArrow(_windows(min_words), "window long, second long, doc_id long, text_key binary, start int")
-    windows = scratch.save(found, "windows")
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
-    # written first, so that the join below may split a common window's rows
-    repeated = scratch.save(windows.groupBy("window", "second").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1").drop("n"), "repeated")
-    marked = windows.join(repeated, ["window", "second"]).groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(first != F.col("first"), F.col("start")))).alias("again"))
+    # one shuffle of the windows: sorted, a window's rows are neighbours, the first of them at its head
+    order = ["window", "second", F.col("doc_id").isNull(), "doc_id", "text_key", "start"]
+    sorted_windows = found.repartition("window", "second").sortWithinPartitions(*order).select("window", "second", "text_key", "start")
+    repeated = sorted_windows.mapInArrow(_repeats, "text_key binary, start int, again boolean")
+    marked = repeated.groupBy("text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"), F.sort_array(F.collect_set(F.when(F.col("again"), F.col("start")))).alias("again"))
     both = classes.where("copies > 1").select("text_key", "n_words").join(marked, "text_key", "full")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     marks = both.select("text_key", F.when(F.col("n_words").isNotNull(), whole).otherwise(_spans(F.col("starts"), min_words)).alias("spans"), F.coalesce(_spans(F.col("again"), min_words), F.array().cast("array<struct<start:int,end:int>>")).alias("later"))
     marks = scratch.save(marks, "marks")
-    scratch.drop("windows", "repeated", "seeds", "classes")
+    scratch.drop("seeds", "classes")
     return texts.select("doc_id", "text_key", "n_words"), marks
 
 
@@ -191,7 +212,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ones have none. Repeated rows are copies of each other and get a row each; an empty table gives no rows.
 
     Copies are one class from the start. Sorting is by range over the suffix's words, then text and position, so that no
-    common passage lands in one task; counting windows is a partial aggregation.
+    common passage lands in one task; a window's rows meet in one task, which sorts them and looks at neighbours only.
     """
     texts, marks = repeated_windows(docs, min_words)
     return texts.join(marks.select("text_key", "spans"), "text_key").select("doc_id", "n_words", F.explode("spans").alias("s")).select("doc_id", "n_words", F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"))

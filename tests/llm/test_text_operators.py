@@ -1,6 +1,7 @@
 """Each text operator against a brute-force version, with nulls, empty and long texts, repeated rows and columns of clashing names."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -533,3 +534,21 @@ def test_op2_spills_where_spark_does(spark):
 
     row = spark.range(1).mapInArrow(where, "own string, used string").first()
     assert row.own and row.used.startswith(row.own)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_op7_runs_of_windows_over_batches(size):
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(3), rng.randrange(2), rng.choice([b"a", b"b", b"c"]), rng.randrange(3)) for _ in range(40)) + [(9, 9, b"z", 0)]
+    table = pa.table({n: pa.array(c, t) for n, c, t in zip(["window", "second", "text_key", "start"], zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.int32()])})
+    got = [tuple(r.values()) for b in op7._repeats(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    runs = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[:2])]
+    assert got == [(*r[2:], r[2:] != run[0][2:]) for run in runs if len(run) > 1 for r in run]
+
+
+def test_op4_shingles_that_cant_bring_roots_together_give_no_rows():
+    counts, mixed = np.zeros(op4.BUCKETS, np.int32), np.zeros(op4.BUCKETS, bool)
+    counts[5], mixed[5] = 2, True
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1]), pa.array([[1, 2, 3, 4, 5], [11, 12, 13, 14, 15]], pa.list_(pa.int64()))], ["cid", "root", "members"])
+    rows = [r for b in op4._rarest(counts, mixed, 20)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["s"], r["cid"], r["n"], r["at"], r["short"]) for r in rows] == [(5, 1, 5, 4, False)]  # the place among all shingles
