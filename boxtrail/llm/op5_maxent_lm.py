@@ -77,14 +77,22 @@ def targets(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]].copy()
-    for i in range(1, rows.shape[1]):
-        logits += weights[rows[:, i]]
-    logits -= logits.max(axis=1, keepdims=True)
+def exponents(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the probabilities of each position's classes are in proportion to, and their sums. Row 0 of the weights is a feature of every position."""
+    logits = weights.take(rows[:, 1], axis=0)
+    for i in range(2, rows.shape[1]):
+        logits += weights.take(rows[:, i], axis=0)
+    logits += weights[0]
+    if len(logits) and not (logits.max() < 60 and logits.min() > -60):  # exp is in reach of single precision otherwise
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    parts, sums = exponents(weights, rows)
+    parts /= sums[:, None]
+    return parts
 
 
 def gradient_steps(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
@@ -93,10 +101,11 @@ def gradient_steps(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, tar
         r, y = rows[at : at + STEP], target[at : at + STEP]
         error = probabilities(weights, r)
         error[np.arange(len(y)), y] -= 1
-        flat = r.T.ravel().astype(np.intp)
+        flat = r[:, 1:].T.ravel().astype(np.intp)
         touched = np.flatnonzero(np.bincount(flat, minlength=ROWS))
-        of_class = error.T.astype(np.float64)
-        sums = np.stack([np.bincount(flat, np.tile(e, r.shape[1]), ROWS)[touched] for e in of_class], axis=1)
+        of_class = np.tile(error.T.astype(np.float64), r.shape[1] - 1)
+        sums = np.stack([np.bincount(flat, e, ROWS)[touched] for e in of_class], axis=1)
+        touched, sums = np.concatenate([[0], touched]), np.concatenate([error.sum(0, dtype=np.float64)[None], sums])
         scale[touched] += (sums * sums).mean(axis=1)
         weights[touched] -= RATE * sums / np.sqrt(scale[touched] + 1e-6)[:, None]
 
@@ -196,8 +205,8 @@ def _score(model: Model):
             cls = model.class_of[(tokens[at] & np.uint64(ENDINGS - 1)).astype(np.int64)]
             rows, context = features(tokens, at), np.empty(len(at))
             for i in range(0, len(at), STEP):
-                p = probabilities(model.weights, rows[i : i + STEP])
-                context[i : i + STEP] = np.log10(np.maximum(p[np.arange(len(p)), cls[i : i + STEP]], 1e-30))
+                parts, sums = exponents(model.weights, rows[i : i + STEP])
+                context[i : i + STEP] = np.log10(np.maximum(parts[np.arange(len(parts)), cls[i : i + STEP]] / sums, 1e-30))
             context -= model.log_size[cls]
             n, text, token = len(texts), owner[at], tokens[at].view(np.int64)
             spot = np.minimum(np.searchsorted(model.hot_tokens, token), max(len(model.hot_tokens) - 1, 0))

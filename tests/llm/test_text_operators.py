@@ -552,3 +552,14 @@ def test_op4_shingles_that_cant_bring_roots_together_give_no_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1]), pa.array([[1, 2, 3, 4, 5], [11, 12, 13, 14, 15]], pa.list_(pa.int64()))], ["cid", "root", "members"])
     rows = [r for b in op4._rarest(counts, mixed, 20)(iter([batch])) for r in b.to_pylist()]
     assert [(r["s"], r["cid"], r["n"], r["at"], r["short"]) for r in rows] == [(5, 1, 5, 4, False)]  # the place among all shingles
+
+
+@pytest.mark.parametrize("top", [1.0, 500.0])
+def test_op5_exponents_stay_in_reach(top):
+    rng = np.random.default_rng(1)
+    weights = (rng.normal(size=(50, op5.CLASSES)) * top).astype(np.float32)
+    rows = np.concatenate([np.zeros((40, 1), int), rng.integers(1, 50, (40, op5.FEATURES - 1))], axis=1).astype(np.uint16)
+    logits = weights[rows].astype(float).sum(1)
+    want = np.exp(logits - logits.max(1, keepdims=True))
+    parts, sums = op5.exponents(weights, rows)
+    assert np.allclose(parts / sums[:, None], want / want.sum(1, keepdims=True), atol=1e-4)
