@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import labels
-from boxtrail.operators import hota, identity, reports, selection
+from boxtrail.operators import hota, identity, reports, segments, selection
 from boxtrail.operators.rounds import connected
 
 BOX = "sequence string, track_id long, frame long, x double, y double, w double, h double"
@@ -134,6 +134,16 @@ def test_equal_tracks_and_windows_are_looked_at_once_by_reacquisition(spark):
     assert [tuple(r) for r in got] == [("ambiguous", 599, 300, 0.0)]  # the 299 others that were seen beside a lost one do not pass
 
 
+def test_candidates_are_aggregated_where_windows_meet_rows(spark):
+    obs = boxes(spark, [(1, 1, 0), (1, 200, 0), (2, 90, 0), (2, 150, 0), (3, 300, 0)])
+    kinds = "sequence string, event string, track_id long, last long, start long, end long, trigger long"
+    events = spark.createDataFrame([("s", e, t, 1, 2, 199, 2) for e, t in (("a", 1), ("b", 9))], kinds)  # two events of one window
+    df = segments.candidates_in_window(events, obs)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(("s", e, t, k, *x, k == t) for e, t in (("a", 1), ("b", 9)) for k, x in ((1, (1, 200, 2)), (2, (90, 150, 2))))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(sequence#" in plan and ", event#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
 @pytest.mark.parametrize("total,ratios,sizes", [(6, (0.45, 0.45, 0.1), (2, 3, 1)), (4, (0.8, 0.2, 0.0), (3, 1, 0)), (3, (0.9, 0.05, 0.05), (1, 1, 1)), (2, (0.5, 0.25, 0.25), (1, 0, 1)), (0, (0.7, 0.2, 0.1), (0, 0, 0)), (25, (0.7, 0.15, 0.15), (18, 4, 3))])
 def test_split_counts(total, ratios, sizes):
     assert reports.split_counts(total, ratios) == sizes
