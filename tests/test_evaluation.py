@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,21 @@ def test_sanitized_answers(spark):
     got = [tuple(r) for r in df.select(*made.values()).collect()]
     both = ["invalid_confidence_bounded:confidence", "invalid_confidence_bounded:fine_confidence"]
     assert got == [(1.0, "Breed", "make_model", 0.0, [1, 3], both), (0.0, "unknown", "unknown", 0.0, [], []), (0.0, "unknown", "unknown", 0.0, [2], [both[0], "unsupported_fine_label_type", "unsupported_evidence_frames_removed"])]
+
+
+def test_pairs_that_no_box_proposes_first_are_still_matched(spark, monkeypatch):
+    from boxtrail.operators.matching import hungarian, iou_table
+
+    monkeypatch.setattr(hota, "BEST", 1)
+    monkeypatch.setattr(hota, "MORE", 1)
+    rng = np.random.default_rng(5)
+    make = lambda n: [("s", 1, i, *map(float, rng.integers(0, 12, 2)), 20.0, 20.0) for i in range(n)]
+    g, p = make(9), make(8)
+    schema = "sequence string, frame long, track_id long, x double, y double, w double, h double"
+    got = hota.aligned_matches(spark.createDataFrame(g, schema), spark.createDataFrame(p, schema)).collect()
+    iou = iou_table(np.array([r[3:] for r in g]), np.array([r[3:] for r in p]))
+    share = iou / (iou.sum(1)[:, None] + iou.sum(0) - iou)
+    weight = iou * share / (2 - share)
+    best = sum(weight[a, b] for a, b in hungarian(weight.max() - weight))
+    assert len({r.gt_track_id for r in got}) == len({r.pred_track_id for r in got}) == len(got) == 8
+    assert sum(weight[r.gt_track_id, r.pred_track_id] for r in got) == pytest.approx(best)
