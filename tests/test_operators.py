@@ -334,3 +334,22 @@ def test_cooldown_looks_at_the_nearest_only():
 
     signals.cooldown([(Frame(10 * i), True) for i in range(300)] + [(Frame(10 * i + 5), False) for i in range(300)], 3)
     assert Frame.seen <= 2 * 600
+
+
+def test_optimal_match_of_copies_shuffles_no_pairs(spark):
+    from boxtrail.operators.assignment import transport
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n, m = rng.integers(1, 6, 2)
+        weight, first, second = np.round(rng.random((n, m)) * 4), rng.integers(1, 4, n), rng.integers(1, 4, m)
+        rows = np.repeat(np.repeat(weight, first, 0), second, 1)
+        assert sum(weight[a, b] * k for a, b, k in transport(weight, first, second)) == sum(rows[a, b] for a, b in matching.hungarian(rows.max() - rows))
+    schema = "sequence string, frame long, track_id long, x double, y double, w double, h double"
+    gt = spark.createDataFrame([("s", 1, t, 5.0 * (t % 2), 0.0, 10.0, 10.0) for t in range(60)], schema)
+    pred = spark.createDataFrame([("s", 1, 100 + t, 5.0 * (t % 2) + 1, 0.0, 10.0, 10.0) for t in range(50)], schema)
+    found = matching.hungarian_match(gt, pred, 0.5)
+    rows = found.collect()
+    assert len({r.gt_track_id for r in rows}) == len({r.pred_track_id for r in rows}) == len(rows) == 50
+    assert all(r.iou == pytest.approx(9 / 11) and r.gt_track_id % 2 == r.pred_track_id % 2 for r in rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
