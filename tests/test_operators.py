@@ -353,3 +353,20 @@ def test_optimal_match_of_copies_shuffles_no_pairs(spark):
     assert len({r.gt_track_id for r in rows}) == len({r.pred_track_id for r in rows}) == len(rows) == 50
     assert all(r.iou == pytest.approx(9 / 11) and r.gt_track_id % 2 == r.pred_track_id % 2 for r in rows)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sort_assigns_equal_boxes_as_one(monkeypatch):
+    from boxtrail.operators.assignment import transport
+
+    shapes = []
+    monkeypatch.setattr(tracker, "transport", lambda table, n, m: shapes.append((table.shape, m.tolist())) or transport(table, n, m))
+    fold, boxes = tracker.Sort(0.2, 3, 1), np.array([[0.0, 0, 10, 10], [50, 0, 60, 10], [0, 0, 10, 10]])
+    assert [(t, r) for t, r, _ in fold.step(boxes)] == [(1, 0), (2, 1), (3, 2)]
+    assert {(t, r) for t, r, _ in fold.step(boxes[[1, 0, 2]])} in ({(1, 1), (2, 0), (3, 2)}, {(1, 2), (2, 0), (3, 1)})
+    assert shapes == [((3, 2), [2, 1])]
+    rng = np.random.default_rng(3)
+    for _ in range(40):  # rows that bid one by one for places with room for several
+        n, m = rng.integers(1, 9), rng.integers(2, 5)
+        weight, room = np.round(rng.random((n, m)) * 5), rng.integers(1, 4, m)
+        rows = np.repeat(weight, room, 1)
+        assert sum(weight[a, b] for a, b, _ in transport(weight, np.ones(n, int), room)) == sum(rows[a, b] for a, b in matching.hungarian(rows.max() - rows))
