@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import labels
-from boxtrail.operators import hota, identity, reports, segments, selection
+from boxtrail.operators import hota, identity, matching, metrics, reports, segments, selection
 from boxtrail.operators.rounds import connected
 
 BOX = "sequence string, track_id long, frame long, x double, y double, w double, h double"
@@ -69,6 +69,49 @@ def test_identity_true_positives_equal_all_assignments(spark):
     assert {r.sequence: r.idtp for r in got} == want
 
 
+def most_frames(weight):
+    return int(sum(weight[i, j] for i, j in matching.hungarian(-weight.astype(float))))
+
+
+@pytest.mark.parametrize("high", [2, 12])
+def test_identity_assignment_solves_few_of_the_pairs_of_one_component(spark, high):
+    # all tracks are linked, and many weights are equal; rivals for the same tracks need pairs that were not proposed at first
+    weight = np.random.default_rng(high).integers(0, high, (70, 300))
+    weight[:20, :5] += 20
+    weight[20:50] = weight[20]
+    common = spark.createDataFrame([("s", i, 1000 + j, int(n)) for (i, j), n in np.ndenumerate(weight) if n], hota.EDGES)
+    proposed, propose = [], hota._counted(common)
+
+    def counted(*prices):
+        proposed.append(propose(*prices).count())
+        return propose(*prices)
+
+    assert hota._assigned(counted).first().idtp == most_frames(weight)
+    assert len(proposed) > 2 and sum(proposed) < common.count() / 2
+
+
+def test_identity_of_boxes_by_cells_equals_that_of_all_pairs(spark, monkeypatch):
+    rng, rows = np.random.default_rng(5), {"gt": [], "pred": []}
+    for side, tracks in (("gt", 14), ("pred", 18)):
+        rows[side] = [(s, t, int(f), *map(float, (rng.integers(0, 4) * 4, rng.integers(0, 3) * 4, rng.choice([8, 10]), 10))) for s in "uv" for t in range(tracks) for f in rng.choice(30, 20, replace=False)]
+    rows["gt"] += [("u", 3, 4, 0.0, 0.0, 0.0, 10.0), ("u", 3, 5, None, 0.0, 10.0, 10.0), ("only", 1, 1, 0.0, 0.0, 10.0, 10.0), *rows["gt"][:6]]  # no area, no place, no other side, rows given twice
+    gt, pred = (spark.createDataFrame(rows[side], BOX) for side in ("gt", "pred"))
+    pairs = matching.iou_pairs(gt, pred, 0.5).groupBy("sequence", "gt_track_id", "pred_track_id").count().collect()
+    want = {}
+    for s in "uv":
+        weight = np.zeros((14, 18), int)
+        for r in pairs:
+            if r.sequence == s:
+                weight[r.gt_track_id, r.pred_track_id] = r["count"]
+        want[s] = most_frames(weight)
+    for cell in (hota.CELL, 90):  # one cell, and four by four
+        monkeypatch.setattr(hota, "CELL", cell)
+        assert {r.sequence: r.idtp for r in hota.identity_matches(gt, pred, 0.5).collect()} == want
+    shown = {r.sequence: r for r in metrics.identity_of_boxes(gt, pred, 0.5).collect()}
+    assert shown == {r.sequence: r for r in metrics.identity_metrics(matching.iou_pairs(gt, pred, 0.5), gt, pred).collect()} and shown["only"].idtp == 0
+    assert metrics.identity_of_boxes(gt, pred.limit(0)).where("idtp > 0").isEmpty()
+
+
 def test_connected_chains_and_stars(spark):
     edges = [("a", i, i + 1) for i in range(40)] + [("a", 100, i) for i in range(101, 130)] + [("b", 3, 2), ("b", 2, 9)]
     got = {(r.s, r.node): r.root for r in connected(spark.createDataFrame(edges, "s string, a long, b long"), ["s"]).collect()}
