@@ -218,3 +218,41 @@ def test_pairs_that_no_box_proposes_first_are_still_matched(spark, monkeypatch):
     best = sum(weight[a, b] for a, b in hungarian(weight.max() - weight))
     assert len({r.gt_track_id for r in got}) == len({r.pred_track_id for r in got}) == len(got) == 8
     assert sum(weight[r.gt_track_id, r.pred_track_id] for r in got) == pytest.approx(best)
+
+
+def test_equal_tracks_are_weighed_as_one_and_matched_one_by_one(spark):
+    rng, schema = np.random.default_rng(8), "sequence string, frame long, track_id long, x double, y double, w double, h double"
+    g = [("s", f, 10 * k + c, *map(float, rng.integers(0, 9, 2)), 12.0, 12.0) for k in range(4) for f in range(1, 7) for c in range(3)]
+    first = {(f, t // 10): (x, y) for _, f, t, x, y, *_ in g}
+    g = [("s", f, t, *first[f, t // 10], w, h) for _, f, t, _, _, w, h in g]  # three tracks of each kind
+    p = [("s", f, 100 + t, x + 1, y, w, h) for _, f, t, x, y, w, h in g if (f + t) % 5]
+    gt, pred = spark.createDataFrame(g, schema), spark.createDataFrame(p, schema)
+    kinds = {r.track_id: (r.n, r.copies, r.members) for r in hota._kinds(gt, "gt").collect()}
+    assert kinds == {10 * k: (6, 3, [10 * k, 10 * k + 1, 10 * k + 2]) for k in range(4)}
+    matches = hota.aligned_matches(gt, pred).collect()
+    for side in ("gt_track_id", "pred_track_id"):
+        assert len({(r.frame, r[side]) for r in matches}) == len(matches) == len(p)
+    apart = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", pos long")
+    alone = hota.aligned_matches(apart(g), apart(p)).collect()  # places of their own: no track equals another
+    boxes = [{(f, t): r for _, f, t, *r in rows} for rows in (g, p)]
+    share = {}
+    for f in range(1, 7):
+        a, b = ([t for _, at, t, *_ in rows if at == f] for rows in (g, p))
+        iou = iou_of([boxes[0][f, t] for t in a], [boxes[1][f, t] for t in b])
+        part = iou / (iou.sum(1)[:, None] + iou.sum(0) - iou)
+        share |= {(f, s, t): (iou[i, j], part[i, j]) for i, s in enumerate(a) for j, t in enumerate(b)}
+    common = {}
+    for (_, s, t), (_, part) in share.items():
+        common[s, t] = common.get((s, t), 0) + part
+    size = {t: sum(t == r[2] for r in p) for t in {r[2] for r in p}}
+    weight = lambda rows: sum(share[r.frame, r.gt_track_id, r.pred_track_id][0] * common[r.gt_track_id, r.pred_track_id] / (6 + size[r.pred_track_id] - common[r.gt_track_id, r.pred_track_id]) for r in rows)
+    assert weight(matches) == pytest.approx(weight(alone))
+    by_alpha = {round(r.alpha, 2): r for r in hota.hota_by_alpha(gt, pred).collect()}
+    again = {round(r.alpha, 2): r for r in hota.hota_by_alpha(gt, pred, spark.createDataFrame(matches)).collect()}
+    assert all(by_alpha[a][m] == pytest.approx(again[a][m]) for a in by_alpha for m in (*hota.MEANS, "tp"))
+
+
+def iou_of(a, b):
+    from boxtrail.operators.matching import iou_table
+
+    return iou_table(np.array(a), np.array(b))
