@@ -292,3 +292,39 @@ def test_fingerprints_tell_rows_apart(spark):
     base = mark(("k", "x", None), ("k", "y", "z"))
     assert base == mark(("k", "y", "z"), ("k", "x", None))
     assert len({base, mark(("k", None, "x"), ("k", "y", "z")), mark(("k", "x", None), ("k", "y", "z"), ("k", "y", "z")), mark(("k", "x", ""), ("k", "y", "z"))}) == 4
+
+
+def test_tracker_reads_its_frames_in_batches(spark):
+    rng = random.Random(4)
+    rows = [(s, f, 20.0 * k + f % 5, 5.0 * k, 18.0, 18.0, 0.5, "x") for s in ("a", "b") for f in range(1, 40) if f % 13 > 3 for k in range(rng.randrange(1, 5))]
+    d = spark.createDataFrame(rows, DETECTION)
+    plain = lambda df: sorted(((r.sequence, r.frame, r.track_id, round(r.x, 6), round(r.y, 6)) for r in df.collect()), key=str)
+    name, cut = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([("a", 20)], "sequence string, frame long")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        assert plain(tracker.sort_tracks(d, cuts=cut, min_hits=1)) == plain_tracks(rows, {("a", 20)}, min_hits=1)
+    finally:
+        spark.conf.set(name, before)
+    fold = tracker.Sort(min_hits=1)
+    fold.step(np.array([[0.0, 0, 10, 10], [50, 0, 60, 10]]))
+    assert fold.tracks == [1, 2]
+    fold.tracks = [2]
+    assert [t for t, *_ in fold.step(np.array([[0.0, 0, 10, 10], [50, 0, 60, 10]]))] == [2, 3]
+
+
+def test_prices_of_a_transport_prove_it():
+    from boxtrail.operators.assignment import priced_transport
+    from boxtrail.operators.matching import hungarian
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n, m = rng.integers(1, 9, 2)
+        weight = rng.random((n, m)) * (rng.random((n, m)) < 0.7)
+        supply, demand = rng.integers(1, 5, n), rng.integers(1, 5, m)
+        found, u, v = priced_transport(weight, supply, demand)
+        assert (weight <= u[:, None] + v + 1e-12).all() and min(u.min(), v.min()) >= 0
+        total = sum(weight[i, j] * k for i, j, k in found)
+        assert total == pytest.approx(u @ supply + v @ demand)
+        rows = np.repeat(np.repeat(weight, supply, 0), demand, 1)
+        assert total == pytest.approx(sum(rows[a, b] for a, b in hungarian(1 - rows)))
