@@ -370,3 +370,26 @@ def test_sort_assigns_equal_boxes_as_one(monkeypatch):
         weight, room = np.round(rng.random((n, m)) * 5), rng.integers(1, 4, m)
         rows = np.repeat(weight, room, 1)
         assert sum(weight[a, b] for a, b, _ in transport(weight, np.ones(n, int), room)) == sum(rows[a, b] for a, b in matching.hungarian(rows.max() - rows))
+
+
+def test_proposals_meet_in_tasks_without_a_join(spark):
+    (gt, g), (pred, p) = copied(spark, 9, 30, 0), copied(spark, 10, 30, 100)
+    proposals = pred.select("sequence", "frame", "track_id", F.col("class").alias("label"), "conf", F.when(F.col("track_id") % 3 > 0, F.array("class")).alias("compatible"), "x", "y", "w", "h")
+    found = matching.proposal_matches(gt, proposals, 0.4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan  # neither pairs nor groups are shuffled
+
+    def overlap(a, b):
+        wide, high = (min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i]) for i in (5, 6))
+        if min(wide, high, a[7], a[8], b[7], b[8]) <= 0:
+            return 0.0
+        common, one, other = wide * high, a[7] * a[8], b[7] * b[8]
+        return min(1.0, max(common / (one + other - common), common / min(one, other)))
+
+    want = set()
+    for f in {a[1] for a in g}:
+        rows = [(overlap(a, b), a[2], b[2]) for a in g for b in p if a[1] == b[1] == f and (b[2] % 3 == 0 or a[3] == b[3]) and overlap(a, b) >= 0.4]
+        want |= {(f, *rows[i]) for i in matching.greedy(rows, True)}
+    got = {(r.frame, r.iou, r.gt_track_id, r.pred_track_id) for r in found.collect()}
+    assert {(f, a, b) for f, _, a, b in got} == {(f, a, b) for f, _, a, b in want} and len(got) == len(want)
+    assert matching.proposal_matches(gt, proposals.limit(0), 0.4).count() == 0
